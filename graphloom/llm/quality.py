@@ -14,36 +14,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ASCII white space, and the characters that count as symbols.
-BLANKS = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
-CLOSERS = r"[.!?:;…\"'”’»)\]]$"
+WORD = r"[^\x20\x09-\x0D]"
+BLANK = r"[\x20\x09-\x0D]"
+SYMBOL = "[#*$%&|<>]"
+CLOSERS = ".!?:;…\"'”’»)]"
 BOILERPLATE = r"(?i)\b(all rights reserved|terms of (use|service)|privacy policy|cookie (policy|settings)|accept (all )?cookies|lorem ipsum|subscribe to our newsletter|enable javascript|click here|read more|share this|sign (in|up)|log ?in)\b"
-NAVIGATION = r"(\s[|>»•·/]\s.*){2,}"
+NAVIGATION = r"\s[|>»•·/]\s"
 
 SHORT_WORDS = 10  # a document of fewer words fails
 REPEAT_PERCENT = 20  # of words in repeated 5-word windows
 WINDOW = 5
 
 
-def _split(text: Column) -> Column:
-    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+def _count(text: Column, pattern: str) -> Column:
+    return F.regexp_count(text, F.lit(pattern)).cast("long")
 
 
-def _count_of(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+def _windows(body: Column) -> Column:
+    """Each window of WINDOW words, in order, words joined by single spaces; one pass of a possessive pattern."""
+    flat = F.regexp_replace(body, BLANK + "+", " ")
+    return F.regexp_extract_all(flat, F.lit(r"(?=((?:[^ ]++ ){%d}[^ ]++))[^ ]++" % (WINDOW - 1)), F.lit(1))
 
 
-def window_hashes(words: Column) -> Column:
-    """The hash of each window of WINDOW words, in order."""
-    n = F.size(words)
-    starts = F.sequence(F.lit(1), n - (WINDOW - 1))
-    return F.when(n >= WINDOW, F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
-
-
-def _keyed(hashes: Column) -> Column:
-    """(hash, place) of each window, sorted, where any hash repeats; n log n in the windows of one text."""
-    pairs = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), pairs)
+def _keyed(windows: Column) -> Column:
+    """(hash, place) of each window, sorted, where any window repeats; else null."""
+    pairs = F.array_sort(F.transform(windows, lambda w, i: F.struct(F.xxhash64(w).alias("h"), i.alias("i"))))
+    return F.when(F.size(F.array_distinct(windows)) < F.size(windows), pairs)
 
 
 def _repeated_places(keyed: Column) -> Column:
@@ -55,38 +51,34 @@ def _repeated_places(keyed: Column) -> Column:
 def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
     body = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(body, "\n", -1), lambda x: F.translate(x, BLANKS, "") != "")
+    lines = F.filter(F.split(body, "\n", -1), lambda x: x.rlike(WORD))
     staged = (
-        df.withColumn("_words", _split(body))
-        .withColumn("_hashes", window_hashes(F.col("_words")))
-        .withColumn("n_words", F.size("_words").cast("long"))
+        df.withColumn("n_words", _count(body, WORD + "++"))
+        .withColumn("_windows", _windows(body))
         .withColumn("_lines", lines)
-        .withColumn("_keyed", _keyed(F.col("_hashes")))
+        .withColumn("_keyed", _keyed(F.col("_windows")))
         .withColumn("_at", _repeated_places(F.col("_keyed")))
     )
     gaps = F.transform(F.col("_at"), lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("_at"), i + 1) - x, F.lit(WINDOW))))
     return (
-        staged.withColumn("word_chars", F.length(F.translate(body, BLANKS, "")).cast("long"))
-        .withColumn("n_symbols", _count_of(body, SYMBOLS).cast("long"))
+        staged.withColumn("word_chars", F.length(F.regexp_replace(body, BLANK + "+", "")).cast("long"))
+        .withColumn("n_symbols", _count(body, SYMBOL))
         .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
         .withColumn("n_repeat_words", F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x))
         .withColumn("base_failed", (F.col("n_words") < SHORT_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")))
-        .drop("_words", "_hashes", "_keyed", "_at")
+        .drop("_windows", "_keyed", "_at")
     )
 
 
 def line_passes(line: Column) -> Column:
-    """True for a line that reads as prose. Each rule looks at one line only."""
-    body = F.trim(F.translate(line, BLANKS, " " * len(BLANKS)))
-    letters = F.length(F.regexp_replace(body, r"[^\p{L}]", ""))
-    capitals = F.length(F.regexp_replace(body, r"[^\p{Lu}]", ""))
-    blanks = F.length(body) - F.length(F.translate(body, " ", ""))
+    """True for a line that reads as prose. Each rule looks at one line only; the cheapest come first."""
+    last = F.regexp_extract(line, "(" + WORD + ")" + BLANK + r"*\z", 1)
     return (
-        body.rlike(CLOSERS)
-        & ~body.rlike(NAVIGATION)
-        & ~((F.length(body) < 200) & body.rlike(BOILERPLATE))
-        & (5 * _count_of(body, SYMBOLS) <= blanks + 1)
-        & (2 * capitals <= letters + 2)
+        F.lit(CLOSERS).contains(last)
+        & (_count(line, NAVIGATION) < 2)
+        & (5 * _count(line, SYMBOL) <= _count(line, BLANK) + 1)
+        & (2 * F.length(F.regexp_replace(line, r"[^\p{Lu}]+", "")) <= F.length(line))
+        & ~((F.length(line) < 200) & line.rlike(BOILERPLATE))
     )
 
 

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontam, html, mixing, quality, tokens, warc
+from graphloom.llm import decontam, html, mixing, quality, substring, tokens, warc
 from graphloom.session import ready_workers, table
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring.deduplicate(table(spark, sf_dir, "documents"), keep=["doc_id"], with_text=False)
+    return done.select("row.doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "line_chars", "kept_chars")
@@ -46,7 +51,7 @@ def op9_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(folder, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_decontaminate, op6_line_quality, op7_token_blocks, op9_warc_archives, op10_curriculum_mix)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_decontaminate, op3_substring_dedup, op6_line_quality, op7_token_blocks, op9_warc_archives, op10_curriculum_mix)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -66,18 +71,28 @@ it AS (SELECT doc_id, count(*) AS n, string_agg(x, ',' ORDER BY x) AS s FROM (SE
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(it.n, 0) AS BIGINT) AS n_items,
   sha256(coalesce(it.s, '')) AS items_sha256, coalesce(cov.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN it USING (doc_id)
+""",
+    "op3_substring_dedup": rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS s FROM d, unnest(range(1, len(w) - 33)) AS r(i)),
+rep AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY s) AS c FROM win) WHERE c > 1),
+gone AS (SELECT DISTINCT doc_id, i + o.j AS k FROM rep, range(0, 35) AS o(j)),
+word AS (SELECT doc_id, k, w[k] AS x FROM d, unnest(range(1, len(w) + 1)) AS r(k)),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY k) AS t, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
 """,
     "op6_line_quality": rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
 win AS (SELECT doc_id, i, array_to_string(w[i:i+4], ' ') AS s FROM d, unnest(range(1, len(w) - 3)) AS r(i)),
 rep AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS c FROM win) WHERE c > 1),
 cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, range(0, 5) AS o(k) GROUP BY doc_id),
-ln AS (SELECT doc_id, l, trim(translate(l, chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     '), ' ') AS b
-       FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
-ok AS (SELECT *, regexp_matches(b, '[.!?:;…"''”’»)\]]$') AND NOT regexp_matches(b, '(\s[|>»•·/]\s.*){{2,}}')
-         AND NOT (length(b) < 200 AND regexp_matches(b, '(?i)\b(all rights reserved|terms of (use|service)|privacy policy|cookie (policy|settings)|accept (all )?cookies|lorem ipsum|subscribe to our newsletter|enable javascript|click here|read more|share this|sign (in|up)|log ?in)\b'))
-         AND 5 * length(regexp_replace(b, '[^#*$%&|<>]', '', 'g')) <= length(regexp_replace(b, '[^ ]', '', 'g')) + 1
-         AND 2 * length(regexp_replace(b, '[^\p{{Lu}}]', '', 'g')) <= length(regexp_replace(b, '[^\p{{L}}]', '', 'g')) + 2 AS good FROM ln),
+ln AS (SELECT doc_id, l FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+ok AS (SELECT *, contains('.!?:;…"''”’»)]', regexp_extract(l, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*\z', 1))
+         AND len(regexp_extract_all(l, '\s[|>»•·/]\s')) < 2
+         AND 5 * len(regexp_extract_all(l, '[#*$%&|<>]')) <= len(regexp_extract_all(l, '[\x20\x09-\x0D]')) + 1
+         AND 2 * length(regexp_replace(l, '[^\p{{Lu}}]+', '', 'g')) <= length(l)
+         AND NOT (length(l) < 200 AND regexp_matches(l, '(?i)\b(all rights reserved|terms of (use|service)|privacy policy|cookie (policy|settings)|accept (all )?cookies|lorem ipsum|subscribe to our newsletter|enable javascript|click here|read more|share this|sign (in|up)|log ?in)\b')) AS good FROM ln),
 agg AS (SELECT doc_id, sum(length(l)) AS line_chars, coalesce(sum(length(l)) FILTER (good), 0) AS kept_chars, count(*) - count(DISTINCT l) AS dup FROM ok GROUP BY doc_id),
 base AS (SELECT d.doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
            length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup, 0) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
