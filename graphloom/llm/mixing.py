@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SLOPES = (-0.5, 0.0, 0.5)
-HEX_DIGITS = 4  # buckets of a source: 16 ** HEX_DIGITS
+HEX_DIGITS = 3  # buckets of a source: 16 ** HEX_DIGITS
 
 
 def word_count(text: Column) -> Column:
