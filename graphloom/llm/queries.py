@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontam, html, mixing, quality, substring, tokens, warc
+from graphloom.llm import decontam, html, mixing, quality, substring, suffix, tokens, warc
 from graphloom.session import ready_workers, table
 
 
@@ -14,6 +14,11 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("row.doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix.deduplicate(table(spark, sf_dir, "documents"), keep=["doc_id"], with_text=False)
+    return done.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "line_chars", "kept_chars")
@@ -51,7 +56,7 @@ def op9_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(folder, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_decontaminate, op3_substring_dedup, op6_line_quality, op7_token_blocks, op9_warc_archives, op10_curriculum_mix)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_decontaminate, op3_substring_dedup, op4_suffix_dedup, op6_line_quality, op7_token_blocks, op9_warc_archives, op10_curriculum_mix)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
