@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontam, html, mixing, quality, substring, suffix, tokens, warc
+from graphloom.llm import decontam, html, minhash, mixing, quality, substring, suffix, tokens, warc
 from graphloom.session import ready_workers, table
 
 
@@ -51,12 +51,16 @@ def op7_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_tokens(folder, manifest)
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def op9_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, manifest = warc.write_archives(table(spark, sf_dir, "pages"))
     return warc.read_archives(folder, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_decontaminate, op3_substring_dedup, op4_suffix_dedup, op6_line_quality, op7_token_blocks, op9_warc_archives, op10_curriculum_mix)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_decontaminate, op3_substring_dedup, op4_suffix_dedup, op6_line_quality, op7_token_blocks, op8_minhash_dedup, op9_warc_archives, op10_curriculum_mix)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
