@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontam, html, minhash, mixing, quality, substring, suffix, tokens, warc
+from graphloom.llm import decontam, html, minhash, mixing, quality, secrets, substring, suffix, tokens, warc
 from graphloom.session import ready_workers, table
 
 
@@ -19,6 +19,11 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return secrets.digest(found).select("row.doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
 def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "line_chars", "kept_chars")
@@ -60,10 +65,34 @@ def op9_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(folder, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_decontaminate, op3_substring_dedup, op4_suffix_dedup, op6_line_quality, op7_token_blocks, op8_minhash_dedup, op9_warc_archives, op10_curriculum_mix)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_decontaminate, op3_substring_dedup, op4_suffix_dedup, op5_secret_scan, op6_line_quality, op7_token_blocks, op8_minhash_dedup, op9_warc_archives, op10_curriculum_mix)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+
+
+def _secrets_sql() -> str:
+    """Spans of each rule from the lengths of its matches and of the gaps between them."""
+    parts = []
+    for at, r in enumerate(secrets.RULES):
+        pattern = r.pattern.replace("'", "''")
+        parts.append(f"""SELECT doc_id, {at} AS place, '{r.kind}' AS kind, a, a + m AS b FROM (
+  SELECT doc_id, m, p, sum(g) OVER w + sum(m) OVER w - m AS a FROM (
+    SELECT doc_id, i, length(ms[i]) AS m, length(ps[i]) AS p, length(gs[i]) AS g FROM (
+      SELECT doc_id, regexp_extract_all(t, '{pattern}') AS ms, regexp_extract_all(t, '{pattern}', {r.group}) AS ps, string_split_regex(t, '{pattern}') AS gs FROM d), unnest(range(1, len(ms) + 1)) AS u(i))
+  WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE p >= {r.least}""")
+    n_base = sum(r.base for r in secrets.RULES)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({" UNION ALL ".join(parts)}),
+j AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(concat(kind, ':', CAST(a AS BIGINT), ':', CAST(b AS BIGINT)), ',' ORDER BY a, place) FILTER (place < {n_base}) AS base,
+  string_agg(concat(kind, ':', CAST(a AS BIGINT), ':', CAST(b AS BIGINT)), ',' ORDER BY a, place) AS every FROM s GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans
+FROM d LEFT JOIN j USING (doc_id)
+"""
+
+
 _FOLDED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE_SQL = {
@@ -91,6 +120,7 @@ kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY k) AS t, count(*) AS n FROM w
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)
 """,
+    "op5_secret_scan": _secrets_sql(),
     "op6_line_quality": rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
 win AS (SELECT doc_id, i, array_to_string(w[i:i+4], ' ') AS s FROM d, unnest(range(1, len(w) - 3)) AS r(i)),
