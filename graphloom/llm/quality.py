@@ -103,4 +103,6 @@ def keep(df: DataFrame, text: str = "text", max_lost: float = 0.5) -> DataFrame:
     """The rows of df whose document is kept, with df's own columns and whole texts."""
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
     judged = judge(df.select(row, F.col(f"`{text}`").alias("_text")), "_text", max_lost)
-    return judged.filter("kept").select("_row.*")
+    # a filter on kept itself would be pushed below the projections and compute them anew for each use
+    once = judged.select("_row", F.explode(F.array("kept")).alias("_kept"))
+    return once.filter("_kept").select("_row.*")
