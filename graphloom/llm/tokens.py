@@ -20,7 +20,9 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ BLOCK = 1024
 PERCENTILE = 90
 MAGIC = b"GLTK"
 FILE_IDS = 4_000_000  # ids in a file, at most one document more
-CACHE = 400_000  # words that a worker remembers
+CACHE = 1_200_000  # words that a worker remembers
 END_ID = 1
 
 
@@ -137,12 +139,12 @@ class WordEncoder:
         """Little-endian uint32 ids of each text."""
         words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
         known = self.known
-        new = list({w for ws in words for w in ws if w not in known})
+        new = list(set(chain.from_iterable(words)).difference(known))
         for at in range(0, len(new), 5000):
             some = new[at : at + 5000]
             encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
-            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, encoded, strict=True))
-        out = [b"".join([known[w] for w in ws]) for ws in words]
+            known.update((w, array("I", e.ids).tobytes()) for w, e in zip(some, encoded, strict=True))
+        out = [b"".join(map(known.__getitem__, ws)) for ws in words]
         if len(known) > self.size:
             known.clear()
         return out
@@ -222,5 +224,6 @@ def _reader(folder: str):
 def read_tokens(folder: str, manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document, from the files that the manifest lists."""
     before = W.orderBy("task", "seq").rowsBetween(W.unboundedPreceding, -1)
+    tasks = min(20_000, max(1, manifest.count()))  # a number given keeps files apart that look small as rows
     files = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long").alias("start"))
-    return files.repartition("path").mapInArrow(_reader(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartition(tasks, "path").mapInArrow(_reader(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -192,4 +192,5 @@ def _reader(folder: str):
 
 def read_archives(folder: str, manifest: DataFrame) -> DataFrame:
     """page_id, url, payload_bytes, payload_digest, record_type and refers_to of each record in the archives that the manifest lists."""
-    return manifest.select("path").repartition("path").mapInArrow(_reader(folder), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    tasks = min(20_000, max(1, manifest.count()))  # a number given keeps files apart that look small as rows
+    return manifest.select("path").repartition(tasks, "path").mapInArrow(_reader(folder), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
