@@ -17,6 +17,7 @@ text; an empty table gives no files and no rows.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -121,8 +122,11 @@ def decode_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if n else int(d) for d, n in zip(docs, nulls, strict=True)], lengths, ids
 
 
+_TAIL = re.compile(rb"(.*[A-Za-z])([!-&(-/:-@\[-`{-~]+)", re.S)  # marks but not ', which starts contractions
+
+
 class WordEncoder:
-    """A tokenizer whose pieces never cross white space, asked once for each distinct word.
+    """A lower-casing tokenizer whose pieces never cross white space or the end of letters, asked once for each distinct word.
 
     For such a tokenizer a text's ids are those of its words in order; tests hold this against whole texts.
     """
@@ -135,15 +139,24 @@ class WordEncoder:
         self.size = size
         self.known: dict[bytes, bytes] = {}
 
+    def _parts(self, word: bytes) -> tuple[bytes, ...]:
+        """The word as lower-case letters and the marks after them, which this tokenizer always cuts apart."""
+        if b"<|" in word:
+            return (word,)
+        m = _TAIL.fullmatch(word)
+        return (m[1].lower(), m[2]) if m else (word.lower(),)
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian uint32 ids of each text."""
         words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
         known = self.known
-        new = list(set(chain.from_iterable(words)).difference(known))
-        for at in range(0, len(new), 5000):
-            some = new[at : at + 5000]
+        new = [(w, self._parts(w)) for w in set(chain.from_iterable(words)).difference(known)]
+        ask = list({p for _, ps in new for p in ps}.difference(known))
+        for at in range(0, len(ask), 5000):
+            some = ask[at : at + 5000]
             encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
             known.update((w, array("I", e.ids).tobytes()) for w, e in zip(some, encoded, strict=True))
+        known.update((w, b"".join(known[p] for p in ps)) for w, ps in new)
         out = [b"".join(map(known.__getitem__, ws)) for ws in words]
         if len(known) > self.size:
             known.clear()
