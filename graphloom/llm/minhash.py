@@ -34,8 +34,8 @@ from graphloom.session import write_shared
 
 SYMBOLS, CHUNK, DISTANCE = 48, 4, 23  # 12 chunks with one error each: 12 * 2 > 23
 BLOCK = 2000  # documents of a key or cluster that one unit compares with as many others
-UNIT_ROWS = 60_000  # rows of one task's units
-UNIT_BYTES = 48_000_000
+UNIT_ROWS = 10_000  # rows of one task's units
+UNIT_BYTES = 8_000_000
 SLICE = 1_000_000  # shingles hashed at a time
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
