@@ -77,6 +77,7 @@ def of_document(chunks: DataFrame, document_id, level: int | None = None) -> Dat
     return (rows if level is None else rows.filter(F.col("level") == level)).orderBy("level", "path")
 
 
-def mentioning(chunks: DataFrame, entity_ids: list[str], most: int = 100) -> DataFrame:
-    """[F13, H3]"""
-    return chunks.filter(F.arrays_overlap("entity_ids", F.array(*map(F.lit, entity_ids)))).dropDuplicates(["chunk_id"]).orderBy("level", "path").limit(most)
+def mentioning(chunks: DataFrame, entity_ids: list[str], most: int | None = 100) -> DataFrame:
+    """[F13, H3] In order of level, path; None takes all, in no order."""
+    found = chunks.filter(F.arrays_overlap("entity_ids", F.array(*map(F.lit, entity_ids)))).dropDuplicates(["chunk_id"])
+    return found if most is None else found.orderBy("level", "path").limit(most)
