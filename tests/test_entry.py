@@ -23,7 +23,7 @@ def con():
 
 
 def canon(df):
-    show = lambda x: "" if x is None or x is pd.NaT or x != x else f"{x:.6g}" if isinstance(x, float) else str(x)
+    show = lambda x: "" if x is None or x is pd.NaT or x is pd.NA or x != x else f"{x:.6g}" if isinstance(x, float) else str(x)
     return sorted(tuple(show(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False))
 
 
