@@ -78,9 +78,15 @@ class Scanner:
 _SCANNERS: dict[str, Scanner] = {}  # of this worker, by a name that each broadcast gets
 
 
+def _scanner(key: str, items, window: int) -> Scanner:
+    if key not in _SCANNERS:
+        _SCANNERS[key] = Scanner(items.value, window)
+    return _SCANNERS[key]
+
+
 def _scan(items, window: int, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = _SCANNERS.get(key) or _SCANNERS.setdefault(key, Scanner(items.value, window))
+        scanner = _scanner(key, items, window)
         for batch in batches:
             hits, counts = [], []
             for text, have in zip(batch.column("_text").to_pylist(), batch.column("_hits").to_pylist(), strict=True):

@@ -37,7 +37,7 @@ BLOCK = 1024
 PERCENTILE = 90
 MAGIC = b"GLTK"
 FILE_IDS = 4_000_000  # ids in a file, at most one document more
-CACHE = 1_200_000  # words that a worker remembers
+CACHE = 1_600_000  # words that a worker remembers
 END_ID = 1
 
 
@@ -163,7 +163,14 @@ class WordEncoder:
         return out
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[str, WordEncoder] = {}  # of this worker
+
+
+def _encoder(vocabulary: str) -> WordEncoder:
+    """The worker's encoder. Looked up here, as what a nested function refers to is sent anew with every task."""
+    if vocabulary not in _ENCODERS:
+        _ENCODERS[vocabulary] = WordEncoder(vocabulary)
+    return _ENCODERS[vocabulary]
 
 
 def _writer(folder: str, vocabulary: str, end_id: int):
@@ -171,7 +178,7 @@ def _writer(folder: str, vocabulary: str, end_id: int):
         from pyarrow import fs
         from pyspark import TaskContext
 
-        encoder = _ENCODERS.get(vocabulary) or _ENCODERS.setdefault(vocabulary, WordEncoder(vocabulary))
+        encoder = _encoder(vocabulary)
         store, base = fs.FileSystem.from_uri(folder)
         task = TaskContext.get().partitionId()
         docs: list = []
