@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -65,9 +65,12 @@ def fuzzy_pairs(rows: DataFrame, base: float = 0.90, prefix: int = 4, score=scor
     return out.filter(F.col("score") >= F.col("threshold")).withColumn("confidence", scores.fuzzy_confidence(F.col("score"), F.col("threshold"), F.col("x"), F.col("y"))).select("a", "b", "score", "threshold", "confidence")
 
 
-def fuzzy_top_k(rows: DataFrame, k: int = 5, base: float = 0.90, block=None, score=scores.edit_similarity) -> DataFrame:
-    """[J9] The k best other names of each name within its block; then each unordered pair once, at its best."""
-    keyed = rows.select("candidate_key", F.lower("canonical_name").alias("name"), (block if block is not None else F.lit(0)).alias("block"))
+def fuzzy_top_k(rows: DataFrame, block: Column, k: int = 5, base: float = 0.90, score=scores.edit_similarity) -> DataFrame:
+    """[J9] The k best other names of each name within its block; then each unordered pair once, at its best.
+
+    The block has no default: without one, every name would meet every other.
+    """
+    keyed = rows.select("candidate_key", F.lower("canonical_name").alias("name"), block.alias("block"))
     a, b = keyed.alias("a"), keyed.alias("b")
     pairs = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.candidate_key") != F.col("b.candidate_key")))
     scored = pairs.select(F.col("a.candidate_key").alias("source"), F.col("b.candidate_key").alias("target"), score(F.col("a.name"), F.col("b.name")).alias("score"), scores.fuzzy_threshold(F.col("a.name"), F.col("b.name"), base).alias("t")).filter(F.col("score") >= F.col("t"))

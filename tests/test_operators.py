@@ -57,7 +57,7 @@ def test_validity(spark):
     known = spark.createDataFrame([("c", "Power Unit"), ("c", "Battery")], "chunk_id string, name string")
     r = spark.createDataFrame([("c", "Power Unit", "Battery", "CONTAINS", 0.8), ("c", "Power Unit", "", "CONTAINS", 0.8), ("c", "Power Unit", "Battery", "CONTAINS", 0.1), ("c", "Battery", "very important thing", "IS_A", 0.9), ("c", "Wheel", "Battery", "CONTAINS", 0.9), ("d", "Power Unit", "Battery", "CONTAINS", 0.9)], "chunk_id string, source string, target string, type string, confidence double")
     assert [x.reason for x in candidates.validity(r, known).orderBy("chunk_id", "source", "confidence", "target").collect()] .count(None) == 1
-    assert {x.reason for x in candidates.validity(r, known, score=udfs.lcs_similarity if False else candidates.scores.edit_similarity).collect()} == {None, "missing_field", "low_confidence", "adjective_target", "unknown_source", "no_known_entities"}
+    assert {x.reason for x in candidates.validity(r, known, score=candidates.scores.edit_similarity).collect()} == {None, "missing_field", "low_confidence", "adjective_target", "unknown_source", "no_known_entities"}
 
 
 def test_auto_merge(spark):
