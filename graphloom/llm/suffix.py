@@ -31,7 +31,7 @@ from graphloom.session import write_shared
 LENGTH = 200
 ANCHOR = 100
 SHALLOW = 32  # bytes that the quicksort looks at
-SHARD_ANCHORS = 60_000
+SHARD_ANCHORS = 150_000
 STEP = 1 << 20  # bytes hashed at a time
 
 
@@ -198,7 +198,7 @@ class Anchored:
         at = np.concatenate(places) if places else np.zeros(0, np.int64)
         keys = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         self.at, first = np.unique(at, return_index=True)
-        self.keys = keys[first]
+        self.keys = S.mix64(keys[first] ^ np.uint64(0x9FB21C651E98DF25))  # anchors have small hashes; shards need even ones
         of = np.searchsorted(ends, self.at, "right")
         self.left = np.minimum(self.at - self.firsts[of], length - anchor)
         self.right = np.minimum(self.firsts[of + 1] - self.at, length)
