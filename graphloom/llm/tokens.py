@@ -166,19 +166,19 @@ class WordEncoder:
 _ENCODERS: dict[str, WordEncoder] = {}  # of this worker
 
 
-def _encoder(vocabulary: str) -> WordEncoder:
+def _encoder(vocabulary: str, words: int = CACHE) -> WordEncoder:
     """The worker's encoder. Looked up here, as what a nested function refers to is sent anew with every task."""
     if vocabulary not in _ENCODERS:
-        _ENCODERS[vocabulary] = WordEncoder(vocabulary)
+        _ENCODERS[vocabulary] = WordEncoder(vocabulary, words)
     return _ENCODERS[vocabulary]
 
 
-def _writer(folder: str, vocabulary: str, end_id: int):
+def _writer(folder: str, vocabulary: str, end_id: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
         from pyspark import TaskContext
 
-        encoder = _encoder(vocabulary)
+        encoder = _encoder(vocabulary, words)
         store, base = fs.FileSystem.from_uri(folder)
         task = TaskContext.get().partitionId()
         docs: list = []
@@ -214,13 +214,13 @@ def _writer(folder: str, vocabulary: str, end_id: int):
     return run
 
 
-def write_tokens(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID, folder: str | None = None) -> tuple[str, DataFrame]:
+def write_tokens(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID, folder: str | None = None, words: int = CACHE) -> tuple[str, DataFrame]:
     """Writes the files; returns their folder and the manifest: task, seq, path, n_docs, n_ids, n_bytes (files in order of task, seq)."""
     spark = docs.sparkSession
     folder = folder or fresh_path(spark, "tokens")
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    manifest = ordered.mapInArrow(_writer(folder, vocabulary, end_id), "task long, seq long, path string, n_docs long, n_ids long, n_bytes long")
+    manifest = ordered.mapInArrow(_writer(folder, vocabulary, end_id, words), "task long, seq long, path string, n_docs long, n_ids long, n_bytes long")
     return folder, write_shared(manifest, "token-manifest")
 
 
