@@ -31,7 +31,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    folder, manifest = tokens.write_tokens(docs, vocabulary())
+    folder, manifest = tokens.write_tokens(docs, vocabulary(), words=300_000)  # workers also hold what earlier stages left
     return tokens.read_tokens(folder, manifest)
 
 
