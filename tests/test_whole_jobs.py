@@ -4,6 +4,8 @@ import math
 import re
 from collections import Counter
 
+import graphloom.queries_text  # noqa: F401
+from graphloom.operators import graph
 from graphloom.queries import QUERIES
 from graphloom.session import table
 
@@ -24,3 +26,18 @@ def test_bm25_asks_every_stated_part(spark):
         found = sorted((-round(score(q, i), 9), i) for i in docs)[:10]
         want |= {(q, i) for s, i in found if s}
     assert {(r.query_id, r.id) for r in QUERIES["t32_bm25_search"](spark, D).collect()} == want
+
+
+def test_walks_take_three_steps(spark):
+    """Trails by hand over a graph with parallel edges; then the third step of both queries."""
+    e = spark.createDataFrame([("1", "s", "p", "DEPENDS_ON"), ("2", "p", "o", "REFERENCES"), ("3", "o", "q", "REFERENCES"), ("4", "s", "n", "PART_OF"), ("5", "n", "s", "CONTAINS"), ("6", "o", "r", "PRECEDES")], "edge_id string, src string, dst string, type string")
+    steps = [(i, a, b) for r in e.collect() for i, a, b in ((r.edge_id, r.src, r.dst), (r.edge_id, r.dst, r.src)) if r.type != "PRECEDES"]
+    want, now = set(), [(n, n, ()) for n in "spqn"]
+    for length in (1, 2, 3):
+        now = [(s, b, (*used, i)) for s, end, used in now for i, a, b in steps if a == end and i not in used]
+        want |= {(s, b, length) for s, b, _ in now}
+    starts = spark.createDataFrame([(n,) for n in "spqn"], "node string")
+    got = [tuple(r) for r in graph.multi_hop(starts, e).collect()]
+    assert len(got) == len(want) and set(got) == want
+    for name in ("g6_procedural", "g7_multi_hop"):
+        assert {r.length for r in QUERIES[name](spark, D).select("length").distinct().collect()} == {1, 2, 3}
