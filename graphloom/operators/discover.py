@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import scores
 
+NAME_PARTS = 64
+
 
 def trimmed_index(mentions: DataFrame, per_chunk: int = 50) -> DataFrame:
     """[A8] chunk_id, key: the first per_chunk entities of each chunk by confidence, mentions, key; 0 keeps all."""
@@ -65,16 +67,25 @@ def fuzzy_pairs(rows: DataFrame, base: float = 0.90, prefix: int = 4, score=scor
     return out.filter(F.col("score") >= F.col("threshold")).withColumn("confidence", scores.fuzzy_confidence(F.col("score"), F.col("threshold"), F.col("x"), F.col("y"))).select("a", "b", "score", "threshold", "confidence")
 
 
-def fuzzy_top_k(rows: DataFrame, block: Column, k: int = 5, base: float = 0.90, score=scores.edit_similarity) -> DataFrame:
-    """[J9] The k best other names of each name within its block; then each unordered pair once, at its best.
+def fuzzy_top_k(rows: DataFrame, block: Column | None, k: int = 5, base: float = 0.90, score=scores.edit_similarity) -> DataFrame:
+    """[J9] The k best other names of each name, within its block or (None) in the whole table; then each unordered pair once, at its best.
 
-    The block has no default: without one, every name would meet every other.
+    Names are compared once each, with the k + 1 least keys that bear them: one of these may be the source itself. Each
+    name meets NAME_PARTS parts of the others by an equi-join, and k + 1 hits a name and task are shuffled.
     """
-    keyed = rows.select("candidate_key", F.lower("canonical_name").alias("name"), block.alias("block"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    pairs = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.candidate_key") != F.col("b.candidate_key")))
-    scored = pairs.select(F.col("a.candidate_key").alias("source"), F.col("b.candidate_key").alias("target"), score(F.col("a.name"), F.col("b.name")).alias("score"), scores.fuzzy_threshold(F.col("a.name"), F.col("b.name"), base).alias("t")).filter(F.col("score") >= F.col("t"))
-    best = scored.withColumn("r", F.row_number().over(W.partitionBy("source").orderBy(F.desc("score"), "target"))).filter(F.col("r") <= k)
+    keyed = rows.select("candidate_key", F.lower("canonical_name").alias("name"), (F.lit(0) if block is None else block).alias("block"))
+    first = keyed.withColumn("r", F.row_number().over(W.partitionBy("block", "name").orderBy("candidate_key"))).filter(F.col("r") <= k + 1)
+    names = first.groupBy("block", "name").agg(F.array_sort(F.collect_list("candidate_key")).alias("keys"))
+    a = names.select("block", "name", F.explode(F.sequence(F.lit(0), F.lit(NAME_PARTS - 1))).alias("part")).alias("a")
+    b = names.withColumn("part", F.pmod(F.xxhash64("name"), F.lit(NAME_PARTS)).cast("int")).alias("b")
+    pairs = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.part") == F.col("b.part")))
+    scored = pairs.select("a.block", "a.name", F.col("b.keys").alias("keys"), score(F.col("a.name"), F.col("b.name")).alias("score"), scores.fuzzy_threshold(F.col("a.name"), F.col("b.name"), base).alias("t")).filter(F.col("score") >= F.col("t"))
+    near = scored.withColumn("r", F.row_number().over(W.partitionBy("block", "name").orderBy(F.desc("score"), F.get("keys", 0)))).filter(F.col("r") <= k + 1)
+    each = near.select("block", "name", "score", F.explode("keys").alias("target"))
+    hits = each.withColumn("r", F.row_number().over(W.partitionBy("block", "name").orderBy(F.desc("score"), "target"))).filter(F.col("r") <= k + 1)
+    lists = hits.groupBy("block", "name").agg(F.array_sort(F.collect_list(F.struct("r", "score", "target"))).alias("hits"))
+    met = keyed.join(lists, ["block", "name"]).select(F.col("candidate_key").alias("source"), "hits")
+    best = met.select("source", F.explode(F.slice(F.filter("hits", lambda x: x["target"] != F.col("source")), 1, k)).alias("h")).select("source", "h.target", "h.score")
     return best.groupBy(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.max("score").alias("score"))
 
 

@@ -502,10 +502,10 @@ def j8_blocked_fuzzy(spark, d):
     return D.fuzzy_pairs(_names(spark, d), 0.70).select("a", "b", r6("score"), r6("confidence"))
 
 
-@query("""WITH nm AS (SELECT p_partkey AS k, p_brand AS t, lower(p_name) AS n FROM part), s AS (SELECT a.k AS a, b.k AS b, 1 - levenshtein(a.n, b.n) / greatest(length(a.n), length(b.n)) AS score, CASE WHEN least(length(a.n), length(b.n)) < 4 THEN 0.96 WHEN least(length(a.n), length(b.n)) < 8 THEN 0.62 ELSE 0.60 END AS t FROM nm a JOIN nm b ON a.t = b.t AND a.k <> b.k),
+@query("""WITH nm AS (SELECT p_partkey AS k, lower(p_name) AS n FROM part), s AS (SELECT a.k AS a, b.k AS b, 1 - levenshtein(a.n, b.n) / greatest(length(a.n), length(b.n)) AS score, CASE WHEN least(length(a.n), length(b.n)) < 4 THEN 0.96 WHEN least(length(a.n), length(b.n)) < 8 THEN 0.62 ELSE 0.60 END AS t FROM nm a JOIN nm b ON a.k <> b.k),
 r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS k FROM s WHERE score >= t) SELECT least(a, b) AS a, greatest(a, b) AS b, round(max(score), 6) AS score FROM r WHERE k <= 3 GROUP BY 1, 2""")
 def j9_topk_fuzzy(spark, d):
-    return D.fuzzy_top_k(_names(spark, d), F.col("candidate_type"), 3, 0.60).select("a", "b", r6("score"))
+    return D.fuzzy_top_k(_names(spark, d), None, 3, 0.60).select("a", "b", r6("score"))
 
 
 # --- text -------------------------------------------------------------------------------------------------------------

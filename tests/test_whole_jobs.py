@@ -4,7 +4,10 @@ import math
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import graphloom.queries_text  # noqa: F401
+from graphloom.operators import discover as D_
 from graphloom.operators import graph
 from graphloom.queries import QUERIES
 from graphloom.session import table
@@ -41,3 +44,28 @@ def test_walks_take_three_steps(spark):
     assert len(got) == len(want) and set(got) == want
     for name in ("g6_procedural", "g7_multi_hop"):
         assert {r.length for r in QUERIES[name](spark, D).select("length").distinct().collect()} == {1, 2, 3}
+
+
+def test_fuzzy_top_k_is_that_of_the_whole_table(spark):
+    rows = [(1, "A", "pump one"), (2, "B", "pump one"), (3, "B", "Pump One"), (4, "C", "pump two"), (5, "A", "valve"), (6, "C", "valves"), (7, "D", "pump one"), (8, "D", None), (9, "E", "pump ona")]
+    names = spark.createDataFrame(rows, "candidate_key long, candidate_type string, canonical_name string")
+
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            last, row[0] = row[0], i
+            for j, e in enumerate(y, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != e))
+        return row[-1]
+
+    for k in (1, 2, 3):
+        for by_type in (False, True):
+            want = {}
+            for s, t, x in rows:
+                scored = sorted((distance(x.lower(), y.lower()) / max(len(x), len(y)), o) for o, u, y in rows if x and y and o != s and (u == t or not by_type))
+                for far, o in [p for p in scored if 1 - p[0] >= (0.62 if min(len(x), len(rows[p[1] - 1][2])) < 8 else 0.60)][:k]:
+                    want[min(s, o), max(s, o)] = round(1 - far, 9)
+            got = D_.fuzzy_top_k(names, F.col("candidate_type") if by_type else None, k, 0.60).collect()
+            assert {(r.a, r.b): round(r.score, 9) for r in got} == want and len(got) == len(want)
+    parts = {r.p_partkey: r.p_brand for r in table(spark, D, "part").collect()}
+    assert any(parts[r.a] != parts[r.b] for r in QUERIES["j9_topk_fuzzy"](spark, D).collect())
