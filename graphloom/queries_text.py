@@ -48,9 +48,13 @@ def a19_acronym_dictionary(spark, d):
     return extract.acronym_dictionary(_sentences(spark)).select("acronym", "expansion", "n", r6("share"))
 
 
-@query(f"WITH {SSQL} SELECT id, nullif(regexp_extract(text, '(?i)\\bversion[:\\s]+([0-9]+(?:\\.[0-9]+)*)', 1), '') AS version, nullif(regexp_extract(text, '\\b(\\d{{4}}-\\d{{2}}-\\d{{2}})\\b', 1), '') AS date FROM s")
+_VERSION = "coalesce(" + ", ".join(f"nullif(regexp_extract(text, '{p}', 1), '')" for p in X.VERSION_PATTERNS) + ")"
+_DATE = "coalesce(" + ", ".join(f"strftime(try_strptime(nullif(regexp_extract(text, '{p}', 1), ''), '{f}'), '%Y-%m-%d')" for (p, _), f in zip(X.DATE_PATTERNS, ("%Y-%m-%d", "%m/%d/%Y"))) + ")"
+
+
+@query(f"SELECT doc_id, {_VERSION} AS version, {_DATE} AS date FROM documents")
 def src7_version_date(spark, d):
-    return _sentences(spark).select("id", X.version_of(F.col("text")).alias("version"), X.date_of(F.col("text")).alias("date"))
+    return table(spark, d, "documents").select("doc_id", X.version_of(F.col("text")).alias("version"), X.date_of(F.col("text")).alias("date"))
 
 
 @query("""WITH r AS (SELECT l_orderkey AS chunk_id, 'part ' || l_partkey AS source, 'supplier ' || l_suppkey AS target, CASE l_linenumber % 4 WHEN 0 THEN 'IS_A' WHEN 1 THEN '' ELSE 'CONTAINS' END AS type, l_discount * 10 AS confidence FROM lineitem),

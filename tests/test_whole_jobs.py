@@ -6,10 +6,11 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-import graphloom.queries_text  # noqa: F401
+from graphloom.functions.text import VERSION_PATTERNS, date_of, version_of
 from graphloom.operators import discover as D_
 from graphloom.operators import graph
 from graphloom.queries import QUERIES
+from graphloom.queries_text import SENTENCES
 from graphloom.session import table
 
 D = "/root/testdata/sf0.001"
@@ -69,3 +70,18 @@ def test_fuzzy_top_k_is_that_of_the_whole_table(spark):
             assert {(r.a, r.b): round(r.score, 9) for r in got} == want and len(got) == len(want)
     parts = {r.p_partkey: r.p_brand for r in table(spark, D, "part").collect()}
     assert any(parts[r.a] != parts[r.b] for r in QUERIES["j9_topk_fuzzy"](spark, D).collect())
+
+
+def test_versions_and_dates_of_all_documents(spark):
+    texts = {r.doc_id: r.text or "" for r in table(spark, D, "documents").collect()}
+    got = {r.doc_id: r.version for r in QUERIES["src7_version_date"](spark, D).collect()}
+    found = {i: [m[1] for p in VERSION_PATTERNS if (m := re.search(p, t))] for i, t in texts.items()}
+    assert got == {i: v[0] if v else None for i, v in found.items()} and any(got.values())
+
+
+def test_version_and_date_of_sentences(spark):
+    """The literals that the query had before, and forms that its first version and date patterns don't know."""
+    texts = (*SENTENCES, "Revision: B.2, 02/30/2021", "rev. 7 of 03/04/2021", "see v1.2.3, 2021-02-30 or 12/31/2020")
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", version_of(F.col("text")), date_of(F.col("text")))
+    got = {r[0]: (r[1], r[2]) for r in df.collect()}
+    assert got == {i: (None, None) for i in range(7)} | {7: ("2.4", "2021-03-04"), 8: ("B.2", None), 9: ("7", "2021-03-04"), 10: ("1.2.3", "2020-12-31")}
