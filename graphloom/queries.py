@@ -212,14 +212,14 @@ def w5_score_fusion(spark, d):
 
 
 @query(f"""WITH {TOP}, v AS (SELECT query_id, point_id, (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) AS s FROM top WINDOW w AS (PARTITION BY query_id)),
-g AS (SELECT a.vec_id AS query_id, b.vec_id AS point_id, 0.5::DOUBLE AS g FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.label = b.label AND b.vec_id % 10 = 0 AND a.vec_id <> b.vec_id)
+g AS (SELECT a.vec_id AS query_id, b.vec_id AS point_id, 0.5::DOUBLE AS g FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.label = b.label AND a.vec_id <> b.vec_id)
 SELECT query_id, point_id, round(v.s, 6) AS vector_score, g.g AS graph_score, CASE WHEN v.s IS NULL THEN 'graph' WHEN g.g IS NULL THEN 'vector' ELSE 'hybrid' END AS source FROM v FULL JOIN g USING (query_id, point_id)""")
 def j2_hybrid_merge(spark, d):
     from graphloom.plans.retrieval import merge_hits
 
     v = vector.normalize_scores(_top(spark, d)).select("query_id", "point_id", F.col("normalized").alias("vector_score"))
     p = points(spark, d)
-    g = asked(spark, d).join(p.select(F.col("vec_id").alias("query_id"), "label"), "query_id").join(p.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("point_id"), "label"), "label").filter("query_id <> point_id").select("query_id", "point_id", F.lit(0.5).alias("graph_score"))
+    g = asked(spark, d).join(p.select(F.col("vec_id").alias("query_id"), "label"), "query_id").join(p.select(F.col("vec_id").alias("point_id"), "label"), "label").filter("query_id <> point_id").select("query_id", "point_id", F.lit(0.5).alias("graph_score"))
     return merge_hits(v, g, ["query_id", "point_id"]).select("query_id", "point_id", r6("vector_score"), "graph_score", "source")
 
 

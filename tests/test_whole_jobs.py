@@ -85,3 +85,9 @@ def test_version_and_date_of_sentences(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", version_of(F.col("text")), date_of(F.col("text")))
     got = {r[0]: (r[1], r[2]) for r in df.collect()}
     assert got == {i: (None, None) for i in range(7)} | {7: ("2.4", "2021-03-04"), 8: ("B.2", None), 9: ("7", "2021-03-04"), 10: ("1.2.3", "2020-12-31")}
+
+
+def test_hybrid_merge_has_all_graph_hits(spark):
+    label = {r.vec_id: r.label for r in table(spark, D, "embeddings").collect()}
+    want = {(q, i) for q in label if q % 20 == 0 for i in label if i != q and label[i] == label[q]}
+    assert {(r.query_id, r.point_id) for r in QUERIES["j2_hybrid_merge"](spark, D).filter("graph_score is not null").collect()} == want
