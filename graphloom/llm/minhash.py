@@ -25,7 +25,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.llm import segments as S
 from graphloom.operators.components import components
@@ -279,6 +281,33 @@ def _in_tasks(units: DataFrame, weight, most: int):
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the near-duplicates of a document with a smaller id; null ids stay."""
-    gone = near_duplicates(docs, doc_id, text, words, percent).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[doc_id].cast("long") == gone["_gone"], "left_anti")
+    """docs without the near-duplicates of a document with a smaller id, one row of each id.
+
+    Null ids can't be linked: of those that hold the same shingles one row stays, and each row without a shingle. Only
+    rows with a repeated or null id are shuffled with their texts.
+    """
+    key = F.col(f"`{doc_id}`").cast("long")
+    gone = near_duplicates(docs, doc_id, text, words, percent).filter("not kept").select("doc_id").distinct()
+    ids = docs.select(key.alias("doc_id")).filter("doc_id is not null")
+    again = write_shared(ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").join(gone, "doc_id", "left_anti").select(F.col("doc_id").alias("_again")), "again")
+    gone = gone.select(F.col("doc_id").alias("_gone"))
+    once = docs.filter(key.isNotNull()).join(gone.unionByName(again.withColumnRenamed("_again", "_gone")), key == F.col("_gone"), "left_anti")
+    order = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    rows = docs.join(again, key == F.col("_again")).withColumn("_r", F.row_number().over(W.partitionBy("_again").orderBy(F.desc(F.length(order)), order)))
+    return once.unionByName(rows.filter("_r = 1").select(*[F.col(f"`{c}`") for c in docs.columns])).unionByName(_one_a_class(docs.filter(key.isNull()), text, words))
+
+
+def _one_a_class(docs: DataFrame, text: str, words: int) -> DataFrame:
+    """docs with one row of each set of shingles, and all rows that have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                some = batch.slice(at, 500)
+                sets = shingle_sets([(t or "").encode() for t in some.column(text).to_pylist()], words)
+                classes = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(classes, pa.binary())], names=[*some.schema.names, "_class"])
+
+    rows = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_class", T.BinaryType())]))
+    first = rows.filter("_class is not null").withColumn("_r", F.row_number().over(W.partitionBy("_class").orderBy(F.desc(F.length(f"`{text}`")), f"`{text}`"))).filter("_r = 1").drop("_r")
+    return first.unionByName(rows.filter("_class is null")).drop("_class")

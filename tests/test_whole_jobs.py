@@ -7,6 +7,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import VERSION_PATTERNS, date_of, version_of
+from graphloom.llm import minhash
 from graphloom.operators import discover as D_
 from graphloom.operators import graph
 from graphloom.queries import QUERIES
@@ -91,3 +92,12 @@ def test_hybrid_merge_has_all_graph_hits(spark):
     label = {r.vec_id: r.label for r in table(spark, D, "embeddings").collect()}
     want = {(q, i) for q in label if q % 20 == 0 for i in label if i != q and label[i] == label[q]}
     assert {(r.query_id, r.point_id) for r in QUERIES["j2_hybrid_merge"](spark, D).filter("graph_score is not null").collect()} == want
+
+
+def test_one_row_of_each_group_stays(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(1, long), (1, long), (2, long), (3, other), (3, other), (4, "a b c"), (None, long), (None, long), (None, other), (None, ""), (None, None), (5, None), (5, None)]
+    kept = minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert got == Counter([(1, long), (3, other), (4, "a b c"), (None, long), (None, other), (None, ""), (None, None), (5, None)])
