@@ -3,7 +3,7 @@
 Documents are range-partitioned and sorted by id, encoded with a public tokenizer (one end id after each document) and
 written as files in the shared folder. A file holds blocks of BLOCK ids: the block minimum is subtracted, the rest is
 packed at the width that a percentile of the block needs, and larger values go to the block's exception list. An index
-holds where each block starts, so a range of ids can be read alone.
+holds where each block starts, so a range of ids is read alone (read_range).
 
 File layout, little-endian: magic "GLTK", u32 version, u64 ids, u64 documents, u64 blocks; the blocks (u32 minimum, u8
 width, u16 exceptions, packed bits, exception places u16, exception values u32); u64 start of each block; i64 id, u8 is-null and
@@ -11,22 +11,23 @@ u32 length of each document; u64 place of the index, magic.
 
 Lost executors: a file gets a name of its own attempt and counts only if the written manifest lists it.
 Defined cases: a null text is empty, its only id is the end id; null ids come first; rows with equal ids are ordered by
-text; an empty table gives no files and no rows.
+text; a text of any length is encoded whole and stays in one file; only the id and the text are read, so other columns,
+whatever their names, have no part; an empty table gives no files and no rows.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import struct
 import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,8 +37,9 @@ from graphloom.session import fresh_path, write_shared
 BLOCK = 1024
 PERCENTILE = 90
 MAGIC = b"GLTK"
-FILE_IDS = 4_000_000  # ids in a file, at most one document more
-CACHE = 1_600_000  # words that a worker remembers
+FILE_IDS = 4_000_000  # ids in a file, at most STEP_BYTES of text or one document more
+STEP_BYTES = 4_000_000  # of texts that are encoded at a time
+CACHE = 250_000  # words in each of the two generations that a worker remembers
 END_ID = 1
 
 
@@ -80,7 +82,7 @@ def encode_ids(ids: np.ndarray) -> tuple[list[bytes], np.ndarray]:
     return blocks, np.array([len(b) for b in blocks], np.uint64)
 
 
-def encode_file(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
+def encode_file(doc_ids: list[int | None], lengths, ids: np.ndarray) -> bytes:
     blocks, sizes = encode_ids(ids)
     head = struct.pack("<4sIQQQ", MAGIC, 1, len(ids), len(doc_ids), len(blocks))
     starts = len(head) + np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype("<u8") if len(blocks) else np.zeros(0, "<u8")
@@ -122,13 +124,18 @@ def decode_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if n else int(d) for d, n in zip(docs, nulls, strict=True)], lengths, ids
 
 
-_TAIL = re.compile(rb"(.*[A-Za-z])([!-&(-/:-@\[-`{-~]+)", re.S)  # marks but not ', which starts contractions
+_MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")  # ' starts contractions
+# The normalizer and the pieces for which a text's ids are those of its words in order.
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class WordEncoder:
-    """A lower-casing tokenizer whose pieces never cross white space or the end of letters, asked once for each distinct word.
+    """Little-endian uint32 ids of whole texts, asking the tokenizer once for each distinct word.
 
-    For such a tokenizer a text's ids are those of its words in order; tests hold this against whole texts.
+    Holds for a lower-casing tokenizer whose pieces never cross white space or the end of letters, and whose every piece
+    ends in an id of its own kind; is_by_words() looks whether the file says so. Any other tokenizer encodes whole texts.
+    Words are remembered in two generations of at most `size` parts each, so memory is bounded and what is frequent stays.
     """
 
     def __init__(self, vocabulary: str, size: int = CACHE):
@@ -136,41 +143,107 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.by_words = self.is_by_words(json.loads(self.tokenizer.to_str()))
         self.size = size
-        self.known: dict[bytes, bytes] = {}
-
-    def _parts(self, word: bytes) -> tuple[bytes, ...]:
-        """The word as lower-case letters and the marks after them, which this tokenizer always cuts apart."""
-        if b"<|" in word:
-            return (word,)
-        m = _TAIL.fullmatch(word)
-        return (m[1].lower(), m[2]) if m else (word.lower(),)
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian uint32 ids of each text."""
-        words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        known = self.known
-        new = [(w, self._parts(w)) for w in set(chain.from_iterable(words)).difference(known)]
-        ask = list({p for _, ps in new for p in ps}.difference(known))
-        for at in range(0, len(ask), 5000):
-            some = ask[at : at + 5000]
-            encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
-            known.update((w, array("I", e.ids).tobytes()) for w, e in zip(some, encoded, strict=True))
-        known.update((w, b"".join(known[p] for p in ps)) for w, ps in new)
-        out = [b"".join(map(known.__getitem__, ws)) for ws in words]
-        if len(known) > self.size:
-            known.clear()
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.is_end = np.zeros(1 + max(self.tokenizer.get_vocab().values()), bool)
+        self.is_end[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+
+    @staticmethod
+    def is_by_words(config: dict) -> bool:
+        normal, pieces = config.get("normalizer") or {}, config.get("pre_tokenizer") or {}
+        first = (pieces.get("pretokenizers") or [{}])[0]
+        return (
+            [x["type"] for x in normal.get("normalizers", [])] == _NORMALIZERS
+            and first.get("type") == "Split"
+            and first["pattern"].get("Regex") == _PIECES
+            and (first["behavior"], first["invert"]) == ("Removed", True)
+            and config["model"].get("end_of_word_suffix") == "</w>"
+        )
+
+    def _ask(self, strings: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+
+    def _ask_letters(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of words of letters only, many in one call; the ids that end a piece tell the words apart."""
+        for at in range(0, len(words), 200):
+            some = words[at : at + 200]
+            raw = self._ask([" ".join(some)])[0]
+            ends = np.flatnonzero(self.is_end[np.frombuffer(raw, "<u4")]) + 1
+            if len(ends) != len(some):  # a word has a second piece, as lower-casing may part letters from their marks
+                yield from self._ask(some)
+                continue
+            cuts = (4 * ends).tolist()
+            yield from (raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False))
+
+    def _known(self, strings: list[str]) -> list[str]:
+        """Those of distinct strings that no generation holds; what only the old one holds moves to the young one."""
+        young, old = self.young, self.old
+        absent = [s for s, have in zip(strings, map(young.get, strings), strict=True) if have is None]
+        again = [(s, have) for s, have in zip(absent, map(old.get, absent), strict=True) if have is not None]
+        young.update(again)
+        return [s for s in absent if s not in young] if again else absent
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words without white space: of their letters and of the marks after them, else of the whole."""
+        young = self.young
+        new, letters, rest = [], [], []
+        for w in self._known(words):
+            if w.isalpha():
+                letters.append(w)
+            elif (head := w.rstrip(_MARKS)).isalpha():
+                new.append((w, head, w[len(head) :]))
+            else:
+                rest.append(w)
+        heads = self._known(list({x[1] for x in new}.difference(letters)))
+        letters += heads
+        young.update(zip(letters, self._ask_letters(letters), strict=True))
+        rest += self._known(list({x[2] for x in new}.difference(rest)))
+        young.update(zip(rest, self._ask(rest), strict=True))
+        young.update((w, young[a] + young[b]) for w, a, b in new)
+        out = list(map(young.__getitem__, words))
+        if len(young) > self.size:
+            self.old, self.young = young, {}
         return out
 
-
-_ENCODERS: dict[str, WordEncoder] = {}  # of this worker
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, one after another; number of ids of each)."""
+        if not self.by_words:
+            got = self._ask([t or "" for t in texts.to_pylist()])
+            return np.frombuffer(b"".join(got), "<u4"), np.array([len(g) // 4 for g in got], np.int64)
+        texts = texts.fill_null("")
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # special tokens are found before lower-casing
+            texts = pc.ascii_lower(texts)
+        words = pc.ascii_split_whitespace(texts)
+        coded = words.flatten().dictionary_encode()
+        known = self._ids(coded.dictionary.to_pylist())
+        offsets = np.concatenate([[0], np.cumsum([len(k) // 4 for k in known])]).astype(np.int32)
+        pool = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(known), "<u4")))
+        ids = pool.take(coded.indices).flatten().to_numpy()
+        per_word = np.concatenate([[0], np.cumsum(np.diff(offsets)[coded.indices.to_numpy()], dtype=np.int64)])
+        edges = words.offsets.to_numpy() - words.offsets[0].as_py()
+        return ids, np.diff(per_word[edges])
+
+
+def by_bytes(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose column holds about `most` bytes, or one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+_ENCODER: list = [None, None]  # of this worker: (vocabulary, size) and the one encoder that it keeps
 
 
 def _encoder(vocabulary: str, words: int = CACHE) -> WordEncoder:
     """The worker's encoder. Looked up here, as what a nested function refers to is sent anew with every task."""
-    if vocabulary not in _ENCODERS:
-        _ENCODERS[vocabulary] = WordEncoder(vocabulary, words)
-    return _ENCODERS[vocabulary]
+    if _ENCODER[0] != (vocabulary, words):
+        _ENCODER[:] = [(vocabulary, words), WordEncoder(vocabulary, words)]
+    return _ENCODER[1]
 
 
 def _writer(folder: str, vocabulary: str, end_id: int, words: int):
@@ -182,16 +255,15 @@ def _writer(folder: str, vocabulary: str, end_id: int, words: int):
         store, base = fs.FileSystem.from_uri(folder)
         task = TaskContext.get().partitionId()
         docs: list = []
-        lengths: list[int] = []
-        parts: list[bytes] = []
+        lengths: list[np.ndarray] = []
+        parts: list[np.ndarray] = []
         held, seq = 0, 0
-        end = np.array([end_id], "<u4").tobytes()
 
         def flush() -> pa.RecordBatch:
             nonlocal docs, lengths, parts, held, seq
             store.create_dir(base, recursive=True)
             path = f"{base}/{task:08d}-{seq:06d}-{uuid.uuid4().hex}.pfor"
-            data = encode_file(docs, lengths, np.frombuffer(b"".join(parts), "<u4"))
+            data = encode_file(docs, np.concatenate(lengths), np.concatenate(parts))
             with store.open_output_stream(path) as f:
                 f.write(data)
             row = pa.RecordBatch.from_pydict({"task": [task], "seq": [seq], "path": [path.rsplit("/", 1)[1]], "n_docs": [len(docs)], "n_ids": [held], "n_bytes": [len(data)]})
@@ -199,15 +271,14 @@ def _writer(folder: str, vocabulary: str, end_id: int, words: int):
             return row
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(ids), 256):
-                for doc, got in zip(ids[at : at + 256], encoder(texts[at : at + 256]), strict=True):
-                    docs.append(doc)
-                    lengths.append(len(got) // 4 + 1)
-                    parts += [got, end]
-                    held += lengths[-1]
-                    if held >= FILE_IDS:
-                        yield flush()
+            for some in by_bytes(batch, "text", STEP_BYTES):
+                ids, counts = encoder(some.column("text"))
+                docs += some.column("doc_id").to_pylist()
+                lengths.append(counts + 1)
+                parts.append(np.insert(ids, np.cumsum(counts), end_id).astype(np.uint32))
+                held += len(parts[-1])
+                if held >= FILE_IDS:
+                    yield flush()
         if docs:
             yield flush()
 
@@ -242,8 +313,31 @@ def _reader(folder: str):
 
 
 def read_tokens(folder: str, manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of each document, from the files that the manifest lists."""
-    before = W.orderBy("task", "seq").rowsBetween(W.unboundedPreceding, -1)
-    tasks = min(20_000, max(1, manifest.count()))  # a number given keeps files apart that look small as rows
-    files = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long").alias("start"))
-    return files.repartition(tasks, "path").mapInArrow(_reader(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    """doc_id, start, n_tokens and ids_crc32 of each document, from the files that the manifest lists.
+
+    Starts are prefix sums in two levels: over the writing tasks, of which there is one row each, and within each task.
+    """
+    tasks = manifest.groupBy("task").agg(F.sum("n_ids").alias("_ids"))
+    tasks = tasks.select("task", F.coalesce(F.sum("_ids").over(W.orderBy("task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    within = W.partitionBy("task").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    files = manifest.withColumn("_within", F.coalesce(F.sum("n_ids").over(within), F.lit(0))).join(tasks, "task")
+    files = files.select("path", (F.col("_before") + F.col("_within")).cast("long").alias("start"))
+    spread = min(20_000, max(1, manifest.count()))  # a number given keeps files apart that look small as rows
+    return files.repartition(spread, "path").mapInArrow(_reader(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def read_range(folder: str, path: str, first: int, last: int) -> np.ndarray:
+    """Ids first to last (exclusive) of one file. Reads its head, its index and the blocks that hold them, nothing else."""
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(folder)
+    with store.open_input_file(f"{base}/{path}") as f:
+        n_ids, _, n_blocks = struct.unpack("<QQQ", f.read_at(24, 8))
+        place = struct.unpack("<Q", f.read_at(8, f.size() - 12))[0]
+        first, last = max(0, first), min(last, n_ids)
+        if first >= last:
+            return np.zeros(0, np.uint32)
+        a, b = first // BLOCK, -(-last // BLOCK)
+        edges = np.append(np.frombuffer(f.read_at(8 * n_blocks, place), "<u8"), place)[a : b + 1].astype(np.int64)
+        data = f.read_at(int(edges[-1] - edges[0]), int(edges[0]))
+    return decode_blocks(data, edges[:-1] - edges[0], (b - a) * BLOCK)[first - a * BLOCK : last - a * BLOCK]
