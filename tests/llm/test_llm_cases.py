@@ -158,11 +158,12 @@ def test_decontamination(spark, docs, nothing):
 
 
 def test_decontamination_in_shards_is_the_same(spark, docs, monkeypatch):
-    items = spark.createDataFrame([(i, " ".join(P.split()[i : i + 8])) for i in range(7)], "item_id long, text string")
+    items = spark.createDataFrame([(None if i > 4 else i, " ".join(P.split()[i : i + 8])) for i in range(7)] + [(2, P)], "item_id long, text string")
     key = lambda df: sorted(str((r.row.doc_id, r.n_hit, r["items"], r.spans)) for r in df.collect())
     one = key(decontam.find_leaks(docs, items, keep=["doc_id"]))
-    monkeypatch.setattr(decontam, "MAX_CHARS", 60)
+    monkeypatch.setattr(decontam, "MAX_WORDS", 12)
     assert key(decontam.find_leaks(docs, items, keep=["doc_id"])) == one
+    assert decontam.find_leaks(docs, items).filter("row.doc_id = 4").first()["items"] == ["", "", "0", "1", "2", "3", "4"]  # both null ids count
 
 
 def test_tokens_round_trip(docs, nothing):
