@@ -10,6 +10,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20  # of rows that a Python worker gets at once; texts are long
+ROW_GROUP_BYTES = 16 << 20  # of intermediate tables, which a task holds in memory while it writes
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8, **conf: str) -> SparkSession:
@@ -39,7 +42,9 @@ def ready_path() -> None:
 
 
 def ready_workers(spark: SparkSession) -> SparkSession:
-    """Lets Python workers of a session that is already running import the package."""
+    """Lets Python workers of a session that is already running import the package, and bounds what they are sent at once."""
+    if int(spark.conf.get(BATCH_SETTING, "67108864b").rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, f"{BATCH_BYTES}b")
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep)
     if ROOT not in have:
@@ -48,12 +53,14 @@ def ready_workers(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (local sessions only)."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = sc.getCheckpointDir()
         if found is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             found = "file://" + tempfile.mkdtemp(prefix="graphloom-")
             sc.setCheckpointDir(found)
     elif sc.getCheckpointDir() is None:
@@ -70,7 +77,7 @@ def write_shared(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage of df by a table in the shared folder; survives the loss of executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
