@@ -36,6 +36,7 @@ from graphloom.session import write_shared
 
 SYMBOLS, CHUNK, DISTANCE = 48, 4, 23  # 12 chunks with one error each: 12 * 2 > 23
 BLOCK = 2000  # documents of a key or cluster that one unit compares with as many others
+BLOCK_BYTES = 4_000_000  # of their shingles
 UNIT_ROWS = 10_000  # rows of one task's units
 UNIT_BYTES = 8_000_000
 SLICE = 1_000_000  # shingles hashed at a time
@@ -51,11 +52,13 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     every = w.hashes(0)
     counts = np.maximum(w.counts - words + 1, 0)
     ends = np.cumsum(counts)
-    short = np.flatnonzero((w.counts > 0) & (w.counts < words))
-    whole = S.slice_hashes(w.data, w.starts[w.firsts[short]], w.ends[w.firsts[short + 1] - 1]) if len(short) else every[:0]
     out = [np.unique(every[e - n : e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
-    for i, h in zip(short.tolist(), whole, strict=True):
-        out[i] = np.array([h], np.uint64)
+    for n in range(1, words):  # texts of fewer words: the whole sequence
+        short = np.flatnonzero(w.counts == n)
+        if len(short):
+            whole = S.sequence_hashes(np.ascontiguousarray(w.leaves[:, 0]), n)
+            for i in short.tolist():
+                out[i] = whole[w.firsts[i] : w.firsts[i] + 1]
     return out
 
 
@@ -109,10 +112,13 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(batch.column("node").to_numpy(zero_copy_only=False), SYMBOLS))], names=["key", "node"])
 
 
-def _units(rows: DataFrame, key: str, counts: DataFrame, block: int) -> DataFrame:
-    """Adds unit (a hash) and half (0 or 1): the members of a group meet in one unit, or in one for each pair of blocks."""
+def _units(rows: DataFrame, key: str, counts: DataFrame) -> DataFrame:
+    """Adds unit (a hash) and half (0 or 1): the members of a group meet in one unit, or in one for each pair of blocks.
+
+    counts has the number of blocks of each group in _n.
+    """
     met = rows.join(counts, key)
-    blocks = F.ceil(F.col("_n") / F.lit(block)).cast("int")
+    blocks = F.col("_n").cast("int")
     mine = F.pmod(F.xxhash64("node", F.lit(7)), blocks).cast("int")
     # a single member of a block pair would miss none: each block meets itself in the pair (b, b)
     other = F.explode(F.when(blocks == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), blocks - 1))).alias("_o")
@@ -258,12 +264,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = write_shared(known.groupBy("class").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")), "classes")
     keys = classes.select("node", "signature").mapInArrow(_keys, "key long, node long")
     often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    units = _units(keys, "key", often, BLOCK).select("unit", "node").join(classes.select("node", "signature"), "node")
+    units = _units(keys, "key", often.withColumn("_n", F.ceil(F.col("_n") / BLOCK))).select("unit", "node").join(classes.select("node", "signature"), "node")
     chains = write_shared(_in_tasks(write_shared(units, "units"), F.lit(1), UNIT_ROWS).applyInArrow(_chain, "a long, b long").distinct(), "chains")
     clusters = write_shared(components(chains).select("node", F.col("component").alias("cluster")), "clusters")
     members = rows.join(clusters, rows.doc_id == clusters.node).select("node", "cluster", "_text")
-    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("_n"))
-    sets = _units(members.mapInArrow(_load_sets(words), "node long, cluster long, shingles binary"), "cluster", sizes, BLOCK)
+    weights = known.groupBy(F.col("doc_id").alias("node")).agg(F.max("n_shingles").alias("_w")).join(clusters, "node")
+    sizes = weights.groupBy("cluster").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, 8 * F.sum("_w") / BLOCK_BYTES)).alias("_n"))
+    sets = _units(members.mapInArrow(_load_sets(words), "node long, cluster long, shingles binary"), "cluster", sizes)
     sets = write_shared(sets.select("unit", "half", "node", "shingles"), "sets")
     links = write_shared(_in_tasks(sets, F.octet_length("shingles"), UNIT_BYTES).applyInArrow(_confirm(percent), "a long, b long").distinct(), "links")
     found = components(links)

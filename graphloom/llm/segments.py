@@ -82,7 +82,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0, step: int = 1 << 21) -> np.ndarray:
-    """64-bit hashes of data[start:end], equal for equal bytes; starts ascend. Memory follows step, not the data."""
+    """64-bit hashes of data[start:end], equal for equal bytes; starts ascend. Memory follows step, not the data.
+
+    A polynomial modulo 2**64: some different strings of 1,024 bytes and more have equal hashes whatever the base, so it
+    is for choosing and finding candidates that are compared afterwards. What decides is hashed by sequence_hashes.
+    """
     out = np.empty(len(starts), np.uint64)
     at = 0
     while at < len(starts):
@@ -99,6 +103,29 @@ def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: i
     return mix64(out)
 
 
+def _combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = a * np.uint64(0xD6E8FEB86659FD93)
+    x += b
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xA0761D6478BD642F)
+    x ^= x >> np.uint64(29)
+    return x
+
+
+def sequence_hashes(leaves: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hashes of each n consecutive leaves, mixed pair by pair in a tree: 1, 2, 4 ... leaves, then n's binary digits."""
+    if len(leaves) < n:
+        return leaves[:0]
+    out, done, power, k, rest = None, 0, leaves, 1, n
+    while True:
+        if rest & 1:
+            out, done = (power, k) if out is None else (_combine(out[: len(leaves) - done - k + 1], power[done:]), done + k)
+        rest >>= 1
+        if not rest:
+            return mix64(out + np.uint64(n * 0x9E3779B97F4A7C15 & MASK))
+        power, k = _combine(power[:-k], power[k:]), 2 * k
+
+
 # --- segments -------------------------------------------------------------------------------------------------------
 
 

@@ -3,13 +3,14 @@
 A window is `window` consecutive words of one document. First pass: each segment's windows make a partition sketch of
 two rows, sent as its non-empty cells; the sketches of a range of cells are merged, which can only overestimate a
 window's count, and every segment hears which of its cells reach two. Second pass: windows whose cells reach two in both
-rows are estimated repeated, and only those are grouped exactly, by 128 bits of hash. No window that repeats is lost,
+rows are estimated repeated, and only those are grouped exactly, by 128 bits made of the words' 128-bit digests. No window that repeats is lost,
 as merged counters are never below the true count. Words that a repeated window covers are removed.
 
 The sketch's width follows the number of windows, so its error does not grow with the input.
 
 Defined cases: a null text has no words; a document of fewer than `window` words has no window and loses nothing; rows
-that repeat lose all their windows, as each starts somewhere else too; an empty table gives no rows.
+that repeat lose all their windows, as each starts somewhere else too; a text longer than a segment is one of its own and
+is processed whole; docs' columns travel in a struct, so their names clash with nothing; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,23 +35,23 @@ SKETCH_BITS = 22  # cells of a shard of the sketch
 
 
 class Words:
-    """The words of a segment's texts, one after another, joined by single spaces."""
+    """The words of a segment's texts, one after another. A word's two leaves are the halves of its 128-bit digest."""
 
     def __init__(self, texts: list[bytes], window: int):
-        words = [t.split() for t in texts]
-        self.counts = np.array([len(w) for w in words], np.int64)
-        self.data = np.frombuffer(b" ".join(b" ".join(w) for w in words if w), np.uint8)
+        trimmed = pc.ascii_trim_whitespace(pa.array(texts, pa.binary()).cast(pa.string()))
+        words = pc.ascii_split_whitespace(pc.if_else(pc.equal(trimmed, ""), None, trimmed))
+        self.counts = pc.fill_null(words.value_lengths(), 0).to_numpy().astype(np.int64)
         self.firsts = np.concatenate([[0], np.cumsum(self.counts)]).astype(np.int64)
-        spaces = np.flatnonzero(self.data == 0x20)
-        n = int(self.counts.sum())
-        self.starts = np.concatenate([[0], spaces + 1])[:n]
-        self.ends = np.append(spaces, len(self.data))[:n]
-        of = np.repeat(self.firsts[1:], self.counts)
-        self.at = np.flatnonzero(np.arange(n) + window <= of)  # words at which a window starts
+        coded = words.flatten().dictionary_encode()
+        digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, coded.dictionary.to_pylist())), np.uint64).reshape(-1, 2)
+        self.leaves = digests[coded.indices.to_numpy()]
+        n = len(self.leaves)
+        self.at = np.flatnonzero(np.arange(n) + window <= np.repeat(self.firsts[1:], self.counts))  # words at which a window starts
         self.window = window
 
     def hashes(self, seed: int) -> np.ndarray:
-        return S.slice_hashes(self.data, self.starts[self.at], self.ends[self.at + self.window - 1], seed)
+        """Of the windows that start at self.at; both seeds together are 128 bits."""
+        return S.sequence_hashes(np.ascontiguousarray(self.leaves[:, seed]), self.window)[self.at]
 
 
 def _cells(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
@@ -160,7 +163,7 @@ def deduplicate(docs: DataFrame, text: str = "text", keep: list[str] | None = No
         a = words.hashes(0)
         mask = _estimated(a, bits, found)
         words.at, a = words.at[mask], a[mask]
-        gone = _covered(words.at[_marked_pairs(a, words.hashes(1), shard_bits, found.get(EXACT_KIND, {}))], window, len(words.starts))
+        gone = _covered(words.at[_marked_pairs(a, words.hashes(1), shard_bits, found.get(EXACT_KIND, {}))], window, len(words.leaves))
         removed, digests, kept_texts = [], [], []
         for i, t in enumerate(texts):
             lost = gone[words.firsts[i] : words.firsts[i + 1]]
