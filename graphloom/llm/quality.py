@@ -1,11 +1,15 @@
 """Line-first quality rules (operator 6), in DataFrame functions only.
 
-Every line that holds a word is judged by itself (closing punctuation, navigation, boilerplate, symbols, shouting);
-failing lines are taken out, and a document that loses too much of its text is rejected. Four statistics of the whole
-text and a base test on them come first.
+Every line that holds a word is judged by itself (a short line without a closing mark, navigation, boilerplate, symbols,
+shouting); failing lines are taken out, and a document that loses too much of its text is rejected. Four statistics of
+the whole text and a base test on them come first. What a kept document goes on with is its text without those lines.
 
-Defined cases: a null or empty text has no words, all statistics are 0 and the base test fails it; rows are judged one
-by one, so repeated rows get equal results; other columns are kept as they are. A text of any length is one row's work.
+The rules know no language but for the boilerplate phrases, which are those of six: marks that close a sentence or a
+quotation are taken from many scripts, and a line of LONG_LINE characters need not end in one.
+
+Defined cases: a null or empty text has no words, all statistics are 0 and the base test fails it; lines without a word
+pass and stay; rows are judged one by one, so repeated rows get equal results and there are no ties; docs' columns travel
+in a struct, so their names clash with nothing; a text of any length is one row's work; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -13,15 +17,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# ASCII white space, and the characters that count as symbols.
+# ASCII white space; characters that count as symbols; closing marks of many scripts; notices' phrases.
 WORD = r"[^\x20\x09-\x0D]"
 BLANK = r"[\x20\x09-\x0D]"
 SYMBOL = "[#*$%&|<>]"
-CLOSERS = ".!?:;…\"'”’»)]"
-BOILERPLATE = r"(?i)\b(all rights reserved|terms of (use|service)|privacy policy|cookie (policy|settings)|accept (all )?cookies|lorem ipsum|subscribe to our newsletter|enable javascript|click here|read more|share this|sign (in|up)|log ?in)\b"
+CLOSERS = ".!?:;…\"'”’»›)]}。．｡！？：；」』）】》〉〕؟؛۔।॥։።፧፨៕၊။༎།"
+PHRASES = (
+    "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "cookie settings", "accept cookies", "accept all cookies", "lorem ipsum", "subscribe to our newsletter", "enable javascript", "click here", "read more", "share this", "sign in", "sign up", "log in", "login",
+    "alle rechte vorbehalten", "datenschutz", "cookies akzeptieren", "newsletter abonnieren", "hier klicken", "mehr lesen", "weiterlesen", "anmelden",
+    "tous droits réservés", "conditions d'utilisation", "politique de confidentialité", "accepter les cookies", "cliquez ici", "lire la suite", "se connecter",
+    "todos los derechos reservados", "política de privacidad", "aceptar cookies", "haga clic aquí", "leer más", "iniciar sesión",
+    "tutti i diritti riservati", "informativa sulla privacy", "accetta i cookie", "clicca qui", "leggi tutto", "todos os direitos reservados", "aceitar cookies", "clique aqui", "leia mais",
+)
+BOILERPLATE = r"(?:^|[^\p{L}\p{N}])(" + "|".join(PHRASES) + r")(?:$|[^\p{L}\p{N}])"
 NAVIGATION = r"\s[|>»•·/]\s"
 
+LONG_LINE = 80  # characters; a shorter line has to end in a closing mark
 SHORT_WORDS = 10  # a document of fewer words fails
+NOTICE_CHARS = 200  # a line of more is no notice, whatever phrase it holds
 REPEAT_PERCENT = 20  # of words in repeated 5-word windows
 WINDOW = 5
 
@@ -48,14 +61,15 @@ def _repeated_places(keyed: Column) -> Column:
     return F.coalesce(F.array_sort(F.transform(twice, lambda x: x["i"])), F.array().cast("array<int>"))
 
 
-def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(body, "\n", -1), lambda x: x.rlike(WORD))
+def with_statistics(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Columns row (df's own, or those in keep), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed; and _body, _lines."""
+    row = F.struct(*[F.col(f"`{c}`") for c in (keep or df.columns)]).alias("row")
+    body = F.col("_body")
     staged = (
-        df.withColumn("n_words", _count(body, WORD + "++"))
+        df.select(row, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_body"))
+        .withColumn("n_words", _count(body, WORD + "++"))
         .withColumn("_windows", _windows(body))
-        .withColumn("_lines", lines)
+        .withColumn("_lines", F.filter(F.split(body, "\n", -1), lambda x: x.rlike(WORD)))
         .withColumn("_keyed", _keyed(F.col("_windows")))
         .withColumn("_at", _repeated_places(F.col("_keyed")))
     )
@@ -74,35 +88,39 @@ def line_passes(line: Column) -> Column:
     """True for a line that reads as prose. Each rule looks at one line only; the cheapest come first."""
     last = F.regexp_extract(line, "(" + WORD + ")" + BLANK + r"*\z", 1)
     return (
-        F.lit(CLOSERS).contains(last)
+        ((F.length(line) >= LONG_LINE) | F.lit(CLOSERS).contains(last))
         & (_count(line, NAVIGATION) < 2)
         & (5 * _count(line, SYMBOL) <= _count(line, BLANK) + 1)
         & (2 * F.length(F.regexp_replace(line, r"[^\p{Lu}]+", "")) <= F.length(line))
-        & ~((F.length(line) < 200) & line.rlike(BOILERPLATE))
+        & ~((F.length(line) < NOTICE_CHARS) & F.lower(line).rlike(BOILERPLATE))
     )
 
 
-def judge(df: DataFrame, text: str = "text", max_lost: float = 0.5) -> DataFrame:
-    """Adds the statistics, kept_chars (of lines that pass), clean_text and kept.
+def judge(df: DataFrame, text: str = "text", max_lost: float = 0.5, keep: list[str] | None = None) -> DataFrame:
+    """Columns row, the statistics, n_bad_lines, line_chars, kept_chars (of lines that pass), kept and clean_text.
 
-    kept is false where base_failed, else true if the failing lines hold at most max_lost of the characters in lines.
+    kept is false where base_failed, else true if the failing lines hold at most max_lost of the characters in lines
+    with a word. clean_text is the text without the failing lines; lines without a word stay.
     """
-    staged = with_statistics(df, text).withColumn("_good", F.filter("_lines", line_passes))
-    total = F.aggregate("_lines", F.lit(0).cast("long"), lambda a, x: a + F.length(x))
-    good = F.aggregate("_good", F.lit(0).cast("long"), lambda a, x: a + F.length(x))
+    every = F.split("_body", "\n", -1)
+    staged = with_statistics(df, text, keep).withColumn("_good", F.filter(every, lambda x: ~x.rlike(WORD) | line_passes(x)))
+    lines = F.aggregate("_lines", F.lit(0).cast("long"), lambda a, x: a + F.length(x))
+    n_bad = F.size(every) - F.size("_good")
+    lost = F.length("_body") - F.length("clean_text") - n_bad + F.when(F.size("_good") == 0, F.lit(1)).otherwise(F.lit(0))  # line feeds go with their lines
     return (
-        staged.withColumn("line_chars", total)
-        .withColumn("kept_chars", good)
+        staged.withColumn("clean_text", F.array_join("_good", "\n"))
+        .withColumn("n_bad_lines", n_bad.cast("long"))
+        .withColumn("line_chars", lines)
+        .withColumn("kept_chars", (F.col("line_chars") - lost).cast("long"))
         .withColumn("kept", ~F.col("base_failed") & (F.col("kept_chars") >= (1 - max_lost) * F.col("line_chars")))
-        .withColumn("clean_text", F.array_join("_good", "\n"))
-        .drop("_lines", "_good")
+        .drop("_lines", "_good", "_body")
     )
 
 
-def keep(df: DataFrame, text: str = "text", max_lost: float = 0.5) -> DataFrame:
-    """The rows of df whose document is kept, with df's own columns and whole texts."""
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
-    judged = judge(df.select(row, F.col(f"`{text}`").alias("_text")), "_text", max_lost)
+def clean(df: DataFrame, text: str = "text", length: str | None = None, max_lost: float = 0.5) -> DataFrame:
+    """The rows of df whose document is kept, with df's columns; text without its failing lines, and its length anew."""
+    judged = judge(df, text, max_lost)
     # a filter on kept itself would be pushed below the projections and compute them anew for each use
-    once = judged.select("_row", F.explode(F.array("kept")).alias("_kept"))
-    return once.filter("_kept").select("_row.*")
+    once = judged.select("row", F.explode(F.array(F.struct("kept", "clean_text"))).alias("_x")).filter("_x.kept")
+    new = {text: F.col("_x.clean_text")} | ({length: F.length("_x.clean_text").cast(df.schema[length].dataType)} if length else {})
+    return once.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in df.columns])

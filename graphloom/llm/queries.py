@@ -25,15 +25,16 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "line_chars", "kept_chars")
+    judged = quality.judge(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "line_chars", "kept_chars", "n_bad_lines", F.sha2("clean_text", 256).alias("clean_sha256"))
 
 
 def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    rows = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
-    mixed = mixing.in_training_order(mixing.mix(rows, size=F.col("size")))
-    return mixed.select("row.doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"))
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), F.md5(F.coalesce("text", F.lit(""))).alias("tie"))
+    mixed = mixing.in_training_order(mixing.mix(rows, size=F.col("size"), tie=F.col("tie")))
+    place = lambda k: F.round(F.get("positions", F.lit(k)), 9)
+    return mixed.select("row.doc_id", "size", "source_size", "target", "taken", place(0).alias("position"), place(1).alias("second"))
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,20 +127,23 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents)
 win AS (SELECT doc_id, i, array_to_string(w[i:i+4], ' ') AS s FROM d, unnest(range(1, len(w) - 3)) AS r(i)),
 rep AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS c FROM win) WHERE c > 1),
 cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, range(0, 5) AS o(k) GROUP BY doc_id),
-ln AS (SELECT doc_id, l FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
-ok AS (SELECT *, contains('.!?:;…"''”’»)]', regexp_extract(l, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*\z', 1))
+ln AS (SELECT doc_id, i, ls[i] AS l, regexp_matches(ls[i], '[^\x20\x09-\x0D]') AS has FROM (SELECT doc_id, string_split(t, chr(10)) AS ls FROM d), unnest(range(1, len(ls) + 1)) AS r(i)),
+every AS (SELECT *, NOT has OR ((length(l) >= {quality.LONG_LINE} OR contains('{quality.CLOSERS.replace("'", "''")}', regexp_extract(l, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*\z', 1)))
          AND len(regexp_extract_all(l, '\s[|>»•·/]\s')) < 2
          AND 5 * len(regexp_extract_all(l, '[#*$%&|<>]')) <= len(regexp_extract_all(l, '[\x20\x09-\x0D]')) + 1
          AND 2 * length(regexp_replace(l, '[^\p{{Lu}}]+', '', 'g')) <= length(l)
-         AND NOT (length(l) < 200 AND regexp_matches(l, '(?i)\b(all rights reserved|terms of (use|service)|privacy policy|cookie (policy|settings)|accept (all )?cookies|lorem ipsum|subscribe to our newsletter|enable javascript|click here|read more|share this|sign (in|up)|log ?in)\b')) AS good FROM ln),
+         AND NOT (length(l) < {quality.NOTICE_CHARS} AND regexp_matches(lower(l), '{quality.BOILERPLATE.replace("'", "''")}'))) AS good FROM ln),
+cl AS (SELECT doc_id, string_agg(l, chr(10) ORDER BY i) FILTER (good) AS clean, count(*) FILTER (NOT good) AS bad FROM every GROUP BY doc_id),
+ok AS (SELECT * FROM every WHERE has),
 agg AS (SELECT doc_id, sum(length(l)) AS line_chars, coalesce(sum(length(l)) FILTER (good), 0) AS kept_chars, count(*) - count(DISTINCT l) AS dup FROM ok GROUP BY doc_id),
 base AS (SELECT d.doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
            length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup, 0) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
-           len(w) < 10 OR 100 * coalesce(n, 0) > 20 * len(w) AS base_failed, coalesce(line_chars, 0) AS line_chars, coalesce(kept_chars, 0) AS kept_chars
-         FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN agg USING (doc_id))
+           len(w) < 10 OR 100 * coalesce(n, 0) > 20 * len(w) AS base_failed, coalesce(line_chars, 0) AS line_chars, coalesce(kept_chars, 0) AS kept_chars, bad, sha256(coalesce(clean, '')) AS clean_sha256
+         FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN agg USING (doc_id) LEFT JOIN cl USING (doc_id))
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-  NOT base_failed AND kept_chars >= 0.5 * line_chars AS kept, CAST(line_chars AS BIGINT) AS line_chars, CAST(kept_chars AS BIGINT) AS kept_chars FROM base
+  NOT base_failed AND kept_chars >= 0.5 * line_chars AS kept, CAST(line_chars AS BIGINT) AS line_chars, CAST(kept_chars AS BIGINT) AS kept_chars,
+  CAST(bad AS BIGINT) AS n_bad_lines, clean_sha256 FROM base
 """,
     "op9_warc_archives": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
@@ -150,7 +154,7 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
   CASE WHEN n >= 100 AND page_id <> first_id THEN first_id END AS refers_to FROM r
 """,
     "op10_curriculum_mix": rf"""
-WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':', md5(coalesce(text, '')))) AS key FROM documents),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 AS k FROM s0),
 s2 AS (SELECT *, CASE k WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight,
@@ -160,11 +164,12 @@ s3 AS (SELECT *, 1.5::DOUBLE * sum(source_size) OVER () AS total,
          sum(weight) OVER (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS remaining FROM s2),
 s4 AS (SELECT *, max(CASE WHEN (total - below) / remaining <= lim / weight THEN (total - below) / remaining END) OVER () AS level FROM s3),
 s5 AS (SELECT source, source_size, slope, least(lim, level * weight) AS target, CAST(round(least(lim, level * weight)) AS BIGINT) AS goal FROM s4),
-r AS (SELECT d.doc_id, d.size, s5.*, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(CAST(d.doc_id AS VARCHAR), '')), d.doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_it
+r AS (SELECT d.doc_id, d.size, s5.*, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY d.key, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_it
       FROM d JOIN s5 ON d.source IS NOT DISTINCT FROM s5.source),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN goal // source_size ELSE 0 END AS passes FROM r),
 q AS (SELECT *, CAST(passes * size + CASE WHEN passes < 2 THEN least(greatest(goal - passes * source_size - before_it, 0), size) ELSE 0 END AS BIGINT) AS taken FROM p)
 SELECT doc_id, size, source_size, target, taken,
-  round(CASE WHEN taken > 0 THEN 2 * least(before_it / target, 1) / (1 - slope + sqrt((1 - slope) * (1 - slope) + 4 * slope * least(before_it / target, 1))) END, 9) AS position FROM q
+  round(CASE WHEN taken > 0 THEN 2 * least(before_it / target, 1) / (1 - slope + sqrt((1 - slope) * (1 - slope) + 4 * slope * least(before_it / target, 1))) END, 9) AS position,
+  round(CASE WHEN goal - source_size - before_it > 0 AND size > 0 THEN 2 * least((source_size + before_it) / target, 1) / (1 - slope + sqrt((1 - slope) * (1 - slope) + 4 * slope * least((source_size + before_it) / target, 1))) END, 9) AS second FROM q
 """,
 }

@@ -1,14 +1,19 @@
 """WARC archives with one Zstandard dictionary a file (operator 9).
 
-A file starts with a skippable frame (magic 0x184D2A5D) that holds a dictionary built from records of that file; every
-record after it is a Zstandard frame of its own, made with the dictionary. Records with equal payloads of at least
-MIN_REVISIT bytes are archived once: the one with the smallest page id is a response, the others are revisits that name
-it and keep its digest and length but no payload.
+A file starts with a skippable frame (magic 0x184D2A5D) that holds a dictionary built from pieces of all records of that
+file; every record after it is a Zstandard frame of its own, made with the dictionary. Records with equal payloads of at
+least MIN_REVISIT bytes are archived once: the one with the smallest page id is a response, the others are revisits that
+refer to its record id, and keep its digest and length but no payload.
+
+The record id of a response that others may refer to follows from digest and page id, so a revisit in another file knows
+it; all other ids follow from the file and the place in it.
 
 Lost executors: a file gets a name of its own attempt and counts only if the written manifest lists it.
 Defined cases: a null page has an empty payload; rows that repeat both the payload and the page id of a response are
-responses too; a null page id never becomes the one referred to unless all rows of its payload have none; an empty
-table gives no files.
+responses too (within a file only the first has the id that is referred to); a null page id never becomes the one
+referred to unless all rows of its payload have none, which then are all responses; a page of any length is one record;
+a file too small to train on gets what it holds, cut into pieces, as its dictionary; only page id, url and html are read,
+so other columns, whatever their names, have no part; an empty table gives no files.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ import re
 import struct
 import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,32 +33,36 @@ from graphloom.session import fresh_path, write_shared
 
 MIN_REVISIT = 100
 DICTIONARY_BYTES = 32_768
-SAMPLE_BYTES = 1_500_000  # of records that a file's dictionary is built from
+SAMPLE_BYTES = 1_500_000  # of pieces that a file's dictionary is built from
+MIN_PIECE = 64
 FILE_BYTES = 24_000_000  # of records in a file before compression
 LEVEL = 6
 SKIPPABLE = 0x184D2A5D
-_EPOCH = "1970-01-01T00:00:00Z"  # archives of equal pages are equal
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, is_revisit: bool) -> bytes:
+def response_id(digest: str, page_id: int | None) -> str:
+    """The record id of the response that pages with this payload refer to."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'payload:{digest}:page:{page_id}')}>"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, is_revisit: bool, record_id: str, date: str) -> bytes:
     """A WARC/1.1 record. A revisit keeps the HTTP head, with the full payload's length, and no payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if is_revisit else http + payload
-    name = "null" if page_id is None else str(page_id)
     target = re.sub(r"[\r\n\x00]+", " ", url or "")
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if is_revisit else 'response'}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{name}:{target}')}>",
-        f"WARC-Date: {_EPOCH}",
+        f"WARC-Record-ID: {record_id}",
+        f"WARC-Date: {date}",
         f"WARC-Target-URI: {target}",
-        f"WARC-Page-ID: {name}",
+        f"WARC-Page-ID: {'null' if page_id is None else page_id}",
         f"WARC-Payload-Digest: sha256:{digest}",
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
     ]
     if is_revisit:
-        head[2:2] = ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Page-ID: {'null' if refers_to is None else refers_to}"]
+        head[2:2] = ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {response_id(digest, refers_to)}", f"WARC-Refers-To-Page-ID: {'null' if refers_to is None else refers_to}"]
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -66,22 +76,27 @@ def parse_record(data: bytes) -> dict:
     return {"fields": fields, "payload": payload, "page_id": number("WARC-Page-ID"), "url": fields["WARC-Target-URI"], "type": fields["WARC-Type"], "refers_to": number("WARC-Refers-To-Page-ID"), "length": length, "digest": fields["WARC-Payload-Digest"].removeprefix("sha256:")}
 
 
+def pieces(records: list[bytes]) -> list[bytes]:
+    """A piece of every record, SAMPLE_BYTES in all at most or MIN_PIECE each: its start and then, in turn, other parts of it."""
+    size = max(MIN_PIECE, SAMPLE_BYTES // max(1, len(records)))
+    out = []
+    for i, r in enumerate(records):
+        steps = max(1, -(-(len(r) - size) // size))  # places besides the start
+        at = 0 if i % 2 == 0 or len(r) <= size else min(len(r) - size, size * (1 + i // 2 % steps))
+        out.append(r[at : at + size])
+    return out
+
+
 def build_dictionary(records: list[bytes]) -> bytes:
-    """A dictionary from a file's first records (SAMPLE_BYTES of them); empty where there are too few to build one."""
+    """A dictionary from pieces of all records; the pieces themselves, an eighth of them, where there is too little to train on."""
     import zstandard as z
 
-    some, size = [], 0
-    for r in records:
-        some.append(r[:16_384])
-        size += len(some[-1])
-        if size >= SAMPLE_BYTES:
-            break
-    if len(some) < 16 or size < 8_192:
-        return b""
+    some = pieces(records)
+    size = sum(map(len, some))
     try:
         return z.train_dictionary(min(DICTIONARY_BYTES, size // 8), some, k=512, d=8).as_bytes()
     except z.ZstdError:
-        return b""
+        return b"".join(r[: max(8, len(r) // 8)] for r in some)[-DICTIONARY_BYTES:]
 
 
 def encode_file(records: list[bytes]) -> bytes:
@@ -111,30 +126,39 @@ def decode_file(data: bytes) -> Iterator[bytes]:
         rest = rest[len(rest) - len(one.unused_data) :]
 
 
-def _writer(folder: str):
+def _writer(folder: str, date: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
         from pyspark import TaskContext
 
         store, base = fs.FileSystem.from_uri(folder)
         task = TaskContext.get().partitionId()
+        new_name = lambda: f"{task:08d}-{seq:06d}-{uuid.uuid4().hex}.warc.zst"
         held: list[bytes] = []
+        named: set[str] = set()
         size = seq = 0
+        name = new_name()
 
         def flush() -> pa.RecordBatch:
-            nonlocal held, size, seq
+            nonlocal held, size, seq, name
             store.create_dir(base, recursive=True)
-            name = f"{task:08d}-{seq:06d}-{uuid.uuid4().hex}.warc.zst"
             data = encode_file(held)
-            with store.open_output_stream(f"{base}/{name}") as f:
+            with store.open_output_stream(f"{base}/{name}", compression=None) as f:
                 f.write(data)
             row = pa.RecordBatch.from_pydict({"path": [name], "n_records": [len(held)], "n_bytes": [len(data)]})
             held, size, seq = [], 0, seq + 1
+            named.clear()
+            name = new_name()
             return row
 
         for batch in batches:
             for page_id, url, payload, digest, refers, revisit in zip(*(batch.column(n).to_pylist() for n in ("page_id", "url", "html", "digest", "refers_to", "is_revisit")), strict=True):
-                held.append(record(page_id, url, (payload or "").encode("utf-8", "surrogatepass"), digest, refers, revisit))
+                body = (payload or "").encode("utf-8", "surrogatepass")
+                own = response_id(digest, page_id)
+                if revisit or len(body) < MIN_REVISIT or own in named:
+                    own = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'file:{name}:{len(held)}')}>"
+                named.add(own)
+                held.append(record(page_id, url, body, digest, refers, revisit, own, date))
                 size += len(held[-1])
                 if size >= FILE_BYTES:
                     yield flush()
@@ -161,10 +185,11 @@ def with_revisits(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     return met.select("a.page_id", "a.url", "a.html", "a.digest", "b.refers_to", F.col("b.digest").isNotNull().alias("is_revisit"))
 
 
-def write_archives(pages: DataFrame, folder: str | None = None, **names: str) -> tuple[str, DataFrame]:
-    """Writes the archives; returns their folder and the manifest: path, n_records, n_bytes."""
+def write_archives(pages: DataFrame, folder: str | None = None, date: str | None = None, **names: str) -> tuple[str, DataFrame]:
+    """Writes the archives; returns their folder and the manifest: path, n_records, n_bytes. date: WARC-Date of the records, now by default."""
     folder = folder or fresh_path(pages.sparkSession, "warc")
-    manifest = with_revisits(pages, **names).mapInArrow(_writer(folder), "path string, n_records long, n_bytes long")
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    manifest = with_revisits(pages, **names).mapInArrow(_writer(folder, date), "path string, n_records long, n_bytes long")
     return folder, write_shared(manifest, "warc-manifest")
 
 
@@ -175,7 +200,7 @@ def _reader(folder: str):
         store, base = fs.FileSystem.from_uri(folder)
         for batch in batches:
             for path in batch.column("path").to_pylist():
-                with store.open_input_stream(f"{base}/{path}") as f:
+                with store.open_input_stream(f"{base}/{path}", compression=None) as f:
                     data = f.read()
                 rows: dict[str, list] = {k: [] for k in ("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to")}
                 for raw in decode_file(data):

@@ -29,17 +29,21 @@ def nothing(spark, docs):
     return spark.createDataFrame([], SCHEMA)
 
 
-def test_quality(docs, nothing):
-    rows = {r.doc_id: r for r in quality.judge(docs.select("doc_id", "text")).collect()}
+def test_quality(spark, docs, nothing):
+    rows = {r.row.doc_id: r for r in quality.judge(docs).collect()}
     assert rows[1].n_words == 0 and rows[1].base_failed and not rows[1].kept
     assert rows[4].n_words == 56 and rows[4].n_repeat_words == 56 and rows[4].base_failed
+    assert rows[4].row.n_words == 3 and rows[4].row.kept is True and rows[4].row._text == "t"  # clashing names keep their values
     assert rows[8].n_repeat_words == 28 and rows[8].word_chars == len("".join(ROWS[8][1].split()))
-    assert quality.keep(docs).columns == docs.columns
-    assert quality.keep(nothing).count() == 0
-    prose = "This is a line of prose with enough words in it to be kept.\n" + "And here is quite another one, as clean as the first was."
+    assert quality.clean(docs).columns == docs.columns and quality.clean(nothing).count() == 0 and quality.judge(nothing).count() == 0
+    prose = "This is a line of prose with enough words in it to be kept.\n\n" + "And here is quite another one, as clean as the first was."
     junk = "\n".join(f"Home{i} | About{i} | Contact{i} | Imprint{i} | Terms{i}" for i in range(9))
-    kept = quality.keep(docs.sparkSession.createDataFrame([(1, prose), (2, junk)], "doc_id long, text string"))
-    assert [r.doc_id for r in kept.collect()] == [1]
+    mixed = prose + "\nHome > News > Sport\nAlle Rechte vorbehalten.\n"
+    hindi = "यह एक साधारण वाक्य है जिसमें पर्याप्त शब्द हैं ताकि यह रखा जाए।\nऔर यह दूसरा वाक्य है जो उतना ही साफ है।"
+    cleaned = {r.doc_id: r for r in quality.clean(spark.createDataFrame([(1, prose, 0), (2, junk, 0), (3, mixed, 0), (4, hindi, 0)], "doc_id long, text string, n int"), length="n").collect()}
+    assert {i: r.text for i, r in cleaned.items()} == {1: prose, 3: prose + "\n", 4: hindi} and cleaned[3].n == len(prose) + 1
+    bad = quality.judge(spark.createDataFrame([(2, "A b")], "doc_id long, text string")).first()
+    assert (bad.line_chars, bad.kept_chars, bad.n_bad_lines, bad.clean_text) == (3, 0, 1, "")
 
 
 def _windows(texts, n, cut):
@@ -212,22 +216,42 @@ def test_html_operator(spark):
 
 def test_warc(spark):
     body = "<p>" + "same text " * 30
-    rows = [(3, "u3", body), (1, "u1", body), (2, "u\n2", None), (4, "u4", "small"), (5, "u5", "small"), (None, "n", body), (6, None, "é" * 60)]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    folder, manifest = warc.write_archives(df)
-    got = {r.page_id: r for r in warc.read_archives(folder, manifest).collect()}
+    rows = [(3, "u3", body), (1, "u1", body), (2, "u\n2", None), (4, "u4", "small"), (5, "u5", "small"), (None, "n", body), (6, None, "é" * 60), (1, "u1", body), (7, "u7", "long " * 400_000)]
+    df = spark.createDataFrame([(*r, "x", 5, "y") for r in rows], "page_id long, url string, html string, digest string, refers_to long, is_revisit string")
+    folder, manifest = warc.write_archives(df, date="2024-02-03T04:05:06Z")
+    every = warc.read_archives(folder, manifest).collect()
+    got = {r.page_id: r for r in every}
+    assert len(every) == len(rows)
     assert got[1].record_type == "response" and got[3].record_type == "revisit" and got[3].refers_to == 1
     assert got[3].payload_digest == hashlib.sha256(body.encode()).hexdigest() and got[3].payload_bytes == len(body)
-    assert got[4].record_type == got[5].record_type == "response" and got[2].payload_bytes == 0 and got[6].payload_bytes == 120
+    assert got[4].record_type == got[5].record_type == "response" and got[2].payload_bytes == 0 and got[6].payload_bytes == 120 and got[7].payload_bytes == 2_000_000
+    files = [warc.decode_file(open(f"{folder.removeprefix('file://')}/{r.path}", "rb").read()) for r in manifest.collect()]
+    fields = [warc.parse_record(x)["fields"] for f in files for x in f]
+    main = warc.response_id(hashlib.sha256(body.encode()).hexdigest(), 1)
+    assert {f["WARC-Refers-To"] for f in fields if f["WARC-Type"] == "revisit"} == {main} and main in {f["WARC-Record-ID"] for f in fields}
+    assert {f["WARC-Date"] for f in fields} == {"2024-02-03T04:05:06Z"}
     folder, manifest = warc.write_archives(df.limit(0))
     assert warc.read_archives(folder, manifest).count() == 0
 
 
+def _record(i: int, text: str) -> bytes:
+    return warc.record(i, f"http://x/{i}", text.encode(), "0" * 64, None, False, f"<urn:uuid:{i}>", "2024-01-01T00:00:00Z")
+
+
 def test_warc_file_has_its_dictionary_first():
-    records = [warc.record(i, f"http://x/{i}", (f"<html><body><p>page {i} of many pages with much the same text in them" * 9).encode(), "0" * 64, None, False) for i in range(60)]
-    data = warc.encode_file(records)
-    assert data[:4] == (0x184D2A5D).to_bytes(4, "little") and int.from_bytes(data[4:8], "little") > 0
-    assert list(warc.decode_file(data)) == records
+    records = [_record(i, f"<html><body><p>page {i} of many pages with much the same text in them" * 9) for i in range(60)]
+    for some in (records, records[:1], records[:5]):
+        data = warc.encode_file(some)
+        assert data[:4] == (0x184D2A5D).to_bytes(4, "little") and int.from_bytes(data[4:8], "little") > 0
+        assert list(warc.decode_file(data)) == some
+    assert len(warc.encode_file(records)) < sum(map(len, records)) / 4
+
+
+def test_warc_dictionary_sees_every_record():
+    records = [_record(i, f"{i} " * 40_000) for i in range(100)]
+    some = warc.pieces(records)
+    assert len(some) == 100 and all(p and p in r for p, r in zip(some, records)) and sum(map(len, some)) <= warc.SAMPLE_BYTES
+    assert len({r.index(p) for p, r in zip(some[1::2], records[1::2])}) > 1
 
 
 def test_trigram_queries():
@@ -270,10 +294,49 @@ def test_mixing(docs, nothing):
 def test_mixing_follows_the_schedule(spark):
     rows = [(i, f"s{i % 3}", 100) for i in range(3000)]
     mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text long").withColumn("text", F.lit("")), size=F.lit(100).cast("long"))
-    got = {r.source: r for r in mixed.filter("taken > 0").groupBy("row.source").agg(F.min("position").alias("lo"), F.max(F.greatest("position", F.coalesce("second", "position"))).alias("hi")).collect()}
+    got = {r.source: r for r in mixed.filter("taken > 0").groupBy("row.source").agg(F.min(F.array_min("positions")).alias("lo"), F.max(F.array_max("positions")).alias("hi")).collect()}
     assert all(r.lo >= 0 and r.hi <= 1 for r in got.values())
 
 
+def test_mixing_takes_the_target_at_any_cap(spark):
+    rows = [(i, "a" if i < 20 else "b", 10) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, n long")
+    for cap in (1.0, 1.5, 2.5, 3.0):
+        got = mixing.mix(df, size=F.col("n"), tie=F.lit(""), cap=cap).collect()
+        for s in "ab":
+            mine = [r for r in got if r.row.source == s]
+            assert sum(r.taken for r in mine) == round(mine[0].target) <= cap * mine[0].source_size
+            assert all(len(r.positions) == -(-r.taken // 10) for r in mine)
+    lonely = spark.createDataFrame([(None, "a", 1)] * 500, "doc_id long, source string, n long").withColumn("text", F.uuid())
+    assert mixing.mix(lonely, size=F.col("n")).filter("taken > 0").count() == 500
+
+
+def test_minhash_keeps_one_row_of_each(docs, nothing):
+    """Of rows 4, 5, 5 and 11 (near copies) one stays, of null ids one of each set of shingles, and all without words."""
+    df = docs.union(docs.filter("doc_id is null")).union(docs.filter("doc_id is null").withColumn("text", F.lit(None).cast("string")))
+    left = collections.Counter((r.doc_id, r.text) for r in minhash.keep_one(df).collect())
+    assert max(left.values()) == 1 and {i for i, _ in left} == {None, 1, 2, 3, 4, 7, 8, 9, 10}
+    assert {t for i, t in left if i is None} == {None, next(t for i, t, _ in ROWS if i is None)}
+    assert minhash.keep_one(nothing).count() == 0
+
+
+def test_pipeline_stages_on_edge_rows(docs, nothing):
+    import corpus_pipeline
+
+    longer = docs.withColumn("text", F.when(F.col("text").isNotNull() & F.col("doc_id").isNull(), F.lit("A line that is long enough to be kept, as it has ten words and more.")).otherwise(F.col("text")))
+    odd = longer.withColumn("lang", F.lit("en")).withColumn("n_chars", F.length("text"))
+    for start in (odd, odd.limit(0)):
+        now, counts = start, [start.count()]
+        for name, stage in corpus_pipeline.STAGES:
+            now = stage(docs.sparkSession, now, "/root/testdata/sf0.001")
+            if name != "token_files":
+                assert now.columns == start.columns
+                now = docs.sparkSession.createDataFrame(now.collect(), start.schema)
+            counts.append(now.count())
+        assert counts[3] <= counts[2] <= counts[1] <= counts[0] and counts[5] == counts[4]
+        assert bool(counts[0]) == bool(counts[1])
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
@@ -282,7 +345,7 @@ def test_pipeline_stages(spark, tmp_path):
     names = docs.columns
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, d)
-        assert docs.columns == names
+        assert docs.columns == names, docs.columns
         docs = docs.sparkSession.createDataFrame(docs.collect(), docs.schema)
     last = corpus_pipeline.run(spark, d)
     assert last.count() == docs.count() and last.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]

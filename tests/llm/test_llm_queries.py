@@ -11,7 +11,9 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+import regex
 
+from graphloom.llm import quality
 from graphloom.llm.queries import ORACLE_SQL, QUERIES, vocabulary
 
 D = "/root/testdata/sf0.001"
@@ -105,12 +107,27 @@ def test_op8(spark, texts):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in QUERIES["op8_minhash_dedup"](spark, D).collect()} == expect
 
 
+def passes(line):
+    """The line rules of operator 6, spelled out."""
+    ws = "\x20\x09\x0a\x0b\x0c\x0d"
+    if not line.strip(ws):
+        return True
+    short = len(line) < quality.LONG_LINE and line.rstrip(ws)[-1] not in quality.CLOSERS
+    menu = len(regex.findall(r"[ \t\n\f\r][|>»•·/][ \t\n\f\r]", line)) >= 2
+    symbols = 5 * sum(c in "#*$%&|<>" for c in line) > sum(c in ws for c in line) + 1
+    shouts = 2 * len(regex.findall(r"\p{Lu}", line)) > len(line)
+    notice = len(line) < quality.NOTICE_CHARS and regex.search(quality.BOILERPLATE, line.lower())
+    return not (short or menu or symbols or shouts or notice)
+
+
 def test_pipeline_against_brute_force(spark, con):
     """Quality, near-duplicates and decontamination from SQL and sets; then the mix and the tokenizer on what they keep."""
     import corpus_pipeline
 
     rows = {r[0]: r[1] for r in con.execute("select doc_id, text from documents").fetchall()}
     kept = [r[0] for r in con.execute(f"select doc_id from ({ORACLE_SQL['op6_line_quality']}) where kept").fetchall()]
+    rows = {i: "\n".join(x for x in (t or "").split("\n") if passes(x)) for i, t in rows.items()}
+    con.execute("create or replace temp table cleaned as select d.* replace (c.t as text) from documents d join (select unnest(?) as doc_id, unnest(?) as t) c using (doc_id)", [list(rows), list(rows.values())])
     sets = {}
     for i in sorted(kept):
         w = rows[i].encode().lower().split()
@@ -122,9 +139,9 @@ def test_pipeline_against_brute_force(spark, con):
                 a, b = group[i], group[j]
                 group = {k: min(a, b) if g in (a, b) else g for k, g in group.items()}
     kept = [i for i in sets if group[i] == i]
-    leaks = {r[0] for r in con.execute(f"select doc_id from ({ORACLE_SQL['op2_decontaminate']}) where contaminated").fetchall()}
+    leaks = {r[0] for r in con.execute(f"select doc_id from ({ORACLE_SQL['op2_decontaminate'].replace('FROM documents', 'FROM cleaned')}) where contaminated").fetchall()}
     kept = [i for i in kept if i not in leaks]
-    con.execute("create or replace temp table kept as select * from documents where doc_id in (select unnest(?))", [kept])
+    con.execute("create or replace temp table kept as select * from cleaned where doc_id in (select unnest(?))", [kept])
     mix = con.execute(ORACLE_SQL["op10_curriculum_mix"].replace("FROM documents", "FROM kept")).df()
     times = {int(r.doc_id): int((r.taken + r["size"] / 2) // r["size"]) for _, r in mix.iterrows() if r["size"]}
     from tokenizers import Tokenizer
