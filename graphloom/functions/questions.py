@@ -20,8 +20,8 @@ PHRASES = (
 )
 SYNONYMS = (("system", ("subsystem", "module", "unit")), ("component", ("part", "element", "unit")), ("procedure", ("process", "operation", "workflow")), ("power", ("electrical", "energy")), ("data", ("information", "telemetry")), ("command", ("instruction", "control")), ("failure", ("anomaly", "issue", "problem")))
 CONSTRAINTS = (
-    ("gt", "confidence_score", r"(?i)\bgreater than (\d+(?:\.\d+)?)\b"), ("lt", "confidence_score", r"(?i)\bless than (\d+(?:\.\d+)?)\b"), ("eq", "entity_type", r"(?i)\bequals? (\w+)\b"),
-    ("contains", "content", r"(?i)\bin (?:the )?(\w+)\b"), ("source", "document_id", r"(?i)\bfrom (?:the )?(\w+)\b"), ("page", "page_number", r"(?i)\b(?:in|on) page (\d+)\b"), ("document", "document_id", r"(?i)\b(?:in|from) document (\w+)\b"),
+    ("gt", "confidence_score", r"(?iU)\bgreater than (\d+(?:\.\d+)?)\b"), ("lt", "confidence_score", r"(?iU)\bless than (\d+(?:\.\d+)?)\b"), ("eq", "entity_type", r"(?iU)\bequals? (\w+)\b"),
+    ("contains", "content", r"(?iU)\bin (?:the )?(\w+)\b"), ("source", "document_id", r"(?iU)\bfrom (?:the )?(\w+)\b"), ("page", "page_number", r"(?iU)\b(?:in|on) page (\d+)\b"), ("document", "document_id", r"(?iU)\b(?:in|from) document (\w+)\b"),
 )
 GRAPH_WORDS = ("connected", "related", "relationship", "path", "hierarchy", "structure", "dependency", "dependencies")
 DEEP_WORDS = ("comprehensive", "detailed", "analyze", "analysis", "compare", "comparison", "relationship between", "impact of", "effect of", "trace", "history of")

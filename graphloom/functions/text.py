@@ -60,7 +60,7 @@ def remove_boilerplate(text: Column) -> Column:
 
 
 def clean(text: Column) -> Column:
-    """[T1, T3, T4] Removals, the word rule of OCR repair, white space."""
+    """[T1, T3, T4] Removals, the word rule of OCR repair, white space; operators.cleaning.clean also protects and repairs numbers."""
     return tidy_whitespace(ocr_words(remove_boilerplate(text)))
 
 
@@ -70,7 +70,7 @@ def ocr_words(text: Column) -> Column:
 
 
 def normalize(text: Column) -> Column:
-    """[T5] Normalised form, for text whose characters have no compatibility forms (see functions.udfs.normalize for the rest)."""
+    """[T5] Normalised form, for text whose characters have no compatibility forms (functions.udfs.normalize_terms has them, and protected terms)."""
     return F.lower(display_form(text))
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.functions import scores
+from graphloom.functions import scores, udfs
+from graphloom.functions.text import normalize
 
 NAME_PARTS = 64
 
@@ -57,9 +58,9 @@ def type_suggestions(rows: DataFrame, known: list[str], most: int = 25, examples
     return out.orderBy(F.desc("n"), "type").limit(most)
 
 
-def fuzzy_pairs(rows: DataFrame, base: float = 0.90, prefix: int = 4, score=scores.edit_similarity) -> DataFrame:
+def fuzzy_pairs(rows: DataFrame, base: float = 0.90, prefix: int = 4, score=udfs.lcs_similarity) -> DataFrame:
     """[J8, T11-T13] Pairs a < b of one type and one prefix of the name that pass: an equi-join on the block."""
-    keyed = rows.select("candidate_key", "candidate_type", F.lower("canonical_name").alias("name")).withColumn("block", F.substring("name", 1, prefix))
+    keyed = rows.select("candidate_key", "candidate_type", normalize(F.col("canonical_name")).alias("name")).withColumn("block", F.substring("name", 1, prefix))
     a, b = keyed.alias("a"), keyed.alias("b")
     pairs = a.join(b, (F.col("a.candidate_type") == F.col("b.candidate_type")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.candidate_key") < F.col("b.candidate_key")))
     s, t = score(F.col("a.name"), F.col("b.name")), scores.fuzzy_threshold(F.col("a.name"), F.col("b.name"), base)
@@ -67,13 +68,13 @@ def fuzzy_pairs(rows: DataFrame, base: float = 0.90, prefix: int = 4, score=scor
     return out.filter(F.col("score") >= F.col("threshold")).withColumn("confidence", scores.fuzzy_confidence(F.col("score"), F.col("threshold"), F.col("x"), F.col("y"))).select("a", "b", "score", "threshold", "confidence")
 
 
-def fuzzy_top_k(rows: DataFrame, block: Column | None, k: int = 5, base: float = 0.90, score=scores.edit_similarity) -> DataFrame:
+def fuzzy_top_k(rows: DataFrame, block: Column | None, k: int = 5, base: float = 0.90, score=udfs.lcs_similarity) -> DataFrame:
     """[J9] The k best other names of each name, within its block or (None) in the whole table; then each unordered pair once, at its best.
 
     Names are compared once each, with the k + 1 least keys that bear them: one of these may be the source itself. Each
     name meets NAME_PARTS parts of the others by an equi-join, and k + 1 hits a name and task are shuffled.
     """
-    keyed = rows.select("candidate_key", F.lower("canonical_name").alias("name"), (F.lit(0) if block is None else block).alias("block"))
+    keyed = rows.select("candidate_key", normalize(F.col("canonical_name")).alias("name"), (F.lit(0) if block is None else block).alias("block"))
     first = keyed.withColumn("r", F.row_number().over(W.partitionBy("block", "name").orderBy("candidate_key"))).filter(F.col("r") <= k + 1)
     names = first.groupBy("block", "name").agg(F.array_sort(F.collect_list("candidate_key")).alias("keys"))
     a = names.select("block", "name", F.explode(F.sequence(F.lit(0), F.lit(NAME_PARTS - 1))).alias("part")).alias("a")

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from pyspark.sql import types as T
 from graphloom.functions import scores
 
 MAX_QUERY_BYTES = 64_000_000
+PART_ROWS = 2000  # rows of a type that a task compares with as many others
+UNKNOWN = "UNKNOWN"
 
 
 def payload_filter(hits: DataFrame, document_ids=None, level=None, entity_ids=None) -> DataFrame:
@@ -40,7 +43,7 @@ def top_k(queries: DataFrame, points: DataFrame, k: int = 20, least: float = 0.5
     blocks = max(1, -(-8 * int(stats.d) // MAX_QUERY_BYTES))
     parts = []
     for b in range(blocks):
-        some = queries.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b) if blocks > 1 else queries
+        some = queries.filter("vector is not null").filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b) if blocks > 1 else queries.filter("vector is not null")
         rows = some.select(query_id, "vector").collect()
         sent = spark.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], np.float64) if rows else np.zeros((0, 0))))
         parts.append(points.select(F.col(point_id).alias("point_id"), "vector").mapInArrow(_best(sent, k, least, exclude_self), T.StructType([T.StructField("query_id", queries.schema[query_id].dataType), T.StructField("point_id", points.schema[point_id].dataType), T.StructField("score", T.DoubleType())])))
@@ -52,38 +55,56 @@ def top_k(queries: DataFrame, points: DataFrame, k: int = 20, least: float = 0.5
 
 
 def _best(sent, k: int, least: float, exclude_self: bool):
-    def unit(m: np.ndarray) -> np.ndarray:
-        n = np.linalg.norm(m, axis=1, keepdims=True)
-        return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+    """Each task keeps the best of its points for each query and hands them on once, at its end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vectors = sent.value
         if not len(ids):
             return
-        q = unit(vectors)
+        q = _unit_rows(vectors)
+        places: dict = {}
+        for i, x in enumerate(ids):
+            places.setdefault(x, []).append(i)
+        held: list[tuple[np.ndarray, list, np.ndarray]] = []  # queries' places, points, scores
+        kind = None
         for batch in batches:
+            kind = batch.schema.field("point_id").type
+            batch = batch.filter(pc.is_valid(batch.column("vector")))
             if not batch.num_rows:
                 continue
             points = batch.column("point_id").to_pylist()
-            p = unit(np.array(batch.column("vector").to_pylist(), np.float64))
+            p = _unit_rows(np.array(batch.column("vector").to_pylist(), np.float64))
+            own = [(i, j) for j, x in enumerate(points) for i in places.get(x, ())] if exclude_self else []
             for at in range(0, len(ids), 512):
                 s = q[at : at + 512] @ p.T
-                out_q, out_p, out_s = [], [], []
-                for i, row in enumerate(s):
-                    ok = np.flatnonzero(row >= least - 1e-12)
-                    if exclude_self:
-                        ok = ok[[points[j] != ids[at + i] for j in ok]]
-                    if len(ok) > k:  # ties at the cut stay, the window orders them
-                        cut = np.partition(row[ok], len(ok) - k)[len(ok) - k]
-                        ok = ok[row[ok] >= cut - 1e-9]
-                    out_q += [ids[at + i]] * len(ok)
-                    out_p += [points[j] for j in ok]
-                    out_s += row[ok].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(out_q), pa.array(out_p, batch.column("point_id").type), pa.array(out_s, pa.float64())] if out_q else [pa.array([], pa.from_numpy_dtype(np.array(ids).dtype)), pa.array([], batch.column("point_id").type), pa.array([], pa.float64())], names=["query_id", "point_id", "score"])
+                for i, j in own:
+                    if at <= i < at + 512:
+                        s[i - at, j] = -2.0
+                ok = s >= least - 1e-12
+                if p.shape[0] > k:  # ties at the cut stay, the window orders them
+                    ok &= s >= np.partition(s, -k, axis=1)[:, -k][:, None] - 1e-9
+                i, j = np.nonzero(ok)
+                held.append((at + i, [points[x] for x in j.tolist()], s[i, j]))
+            if sum(len(h[1]) for h in held) > 4 * k * len(ids) + 100_000:
+                held = [_cut(held, k)]
+        if held:
+            at, found, s = _cut(held, k)
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at.tolist()]), pa.array(found, kind), pa.array(s)], names=["query_id", "point_id", "score"])
 
     return run
 
 
+def _cut(held: list, k: int) -> tuple[np.ndarray, list, np.ndarray]:
+    """What is among the k best of its query, ties at the cut included."""
+    at, s = np.concatenate([h[0] for h in held]), np.concatenate([h[2] for h in held])
+    found = [x for h in held for x in h[1]]
+    order = np.lexsort((-s, at))
+    first = np.searchsorted(at[order], at[order])
+    kth = np.minimum(first + k - 1, np.searchsorted(at[order], at[order], "right") - 1)
+    keep = order[s[order] >= s[order][kth] - 1e-9]
+    return at[keep], [found[i] for i in keep.tolist()], s[keep]
+
+
 def normalize_scores(hits: DataFrame, query_id: str = "query_id", score: str = "score") -> DataFrame:
     """[W1] Adds `normalized`, min-max over each query's hits."""
     w = W.partitionBy(query_id)
@@ -172,10 +193,79 @@ def rerank(hits: DataFrame, k: int = 10, diversity: bool = True, query_id: str =
 
 
 def similar_pairs(records: DataFrame, least: float = 0.85, block: str = "entity_type", key: str = "entity_id") -> DataFrame:
-    """[J7] Pairs a < b of one block with cosine >= least: an equi-join on the block, then the product of unit vectors."""
-    n = scores.norm(F.col("vector"))
-    unit = records.select(key, block, F.when(n > 0, F.transform("vector", lambda x: x.cast("double") / n)).alias("u"))
-    a, b = unit.alias("a"), unit.alias("b")
-    pairs = a.join(b, (F.col(f"a.{block}") == F.col(f"b.{block}")) & (F.col(f"a.{key}") < F.col(f"b.{key}")))
-    s = F.aggregate(F.zip_with("a.u", "b.u", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-    return pairs.select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"), F.col(f"a.{block}").alias(block), s.alias("similarity")).filter(F.col("similarity") >= least)
+    """[J7] Pairs a < b with cosine >= least, of one type or with a side of no known type: a, b, block, similarity.
+
+    A row without a type, or of type UNKNOWN, meets the rows of every type. A type is cut into parts of about PART_ROWS
+    rows, and each pair of parts is one matrix product; so a type of any size is many tasks, and none holds it whole.
+    """
+    kind = F.upper(F.coalesce(F.col(block).cast("string"), F.lit(UNKNOWN)))
+    rows = records.filter(F.col("vector").isNotNull()).select(F.col(key).alias("k"), "vector", kind.alias("kind"))
+    counts = rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    loose = F.coalesce(F.sum(F.when(F.col("kind") == UNKNOWN, F.col("n"))).over(W.partitionBy()), F.lit(0))
+    sizes = counts.withColumn("parts", F.ceil((F.col("n") + F.when(F.col("kind") != UNKNOWN, loose).otherwise(0)) / PART_ROWS).cast("int"))
+    kinds = sizes.agg(F.collect_list(F.struct("kind", "parts")).alias("every"))  # one row; there are few types
+    met = rows.crossJoin(kinds).select("k", "vector", (F.col("kind") == UNKNOWN).alias("loose"), F.explode(F.filter("every", lambda x: (F.col("kind") == UNKNOWN) | (x["kind"] == F.col("kind")))).alias("in"))
+    mine = F.pmod(F.xxhash64("k"), F.col("in.parts")).cast("int")
+    spread = met.withColumn("p", mine).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("in.parts") - 1)))
+    units = spread.select("k", "vector", "loose", F.col("in.kind").alias("kind"), F.least("p", "o").alias("lo"), F.greatest("p", "o").alias("hi"), "p")
+    unit_key = records.schema[key].dataType
+    schema = T.StructType([T.StructField("a", unit_key), T.StructField("b", unit_key), T.StructField(block, T.StringType()), T.StructField("similarity", T.DoubleType())])
+    return units.groupBy("kind", "lo", "hi").applyInArrow(_pairs_of_unit(least, block), schema)
+
+
+def _unit_rows(m: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+
+def _pairs_of_unit(least: float, block: str):
+    def run(t: pa.Table) -> pa.Table:
+        kind, lo, hi = (t.column(c)[0].as_py() for c in ("kind", "lo", "hi"))
+        keys = t.column("k").to_pylist()
+        m = _unit_rows(np.array(t.column("vector").to_pylist(), np.float64))
+        loose, part = t.column("loose").to_numpy(), t.column("p").to_numpy()
+        out: dict[str, list] = {"a": [], "b": [], block: [], "similarity": []}
+        for at in range(0, len(keys), 512):
+            s = m[at : at + 512] @ m.T
+            for i, j in zip(*np.nonzero(s >= least), strict=True):
+                x = at + int(i)
+                if not keys[x] < keys[j] or (lo != hi and part[x] == part[j]) or (kind != UNKNOWN and loose[x] and loose[j]):
+                    continue
+                for c, v in zip(out, (keys[x], keys[j], kind, float(s[i, j])), strict=True):
+                    out[c].append(v)
+        return pa.table({"a": pa.array(out["a"], t.schema.field("k").type), "b": pa.array(out["b"], t.schema.field("k").type), block: pa.array(out[block], pa.string()), "similarity": pa.array(out["similarity"], pa.float64())})
+
+    return run
+
+
+def search(queries: DataFrame, points: DataFrame, k: int = 20, least: float = 0.5, document_ids=None, level: int | None = None, entity_ids=None, number: int = 1, size: int | None = None, use_mmr: bool = False, lam: float = 0.5) -> DataFrame:
+    """[W11] Filters, top k, normalised scores, diversity if asked for, and one page of `size` hits (by default all k).
+
+    points: point_id, vector, content, and document_id, level, entity_ids where filters ask for them. Columns query_id,
+    point_id, content, score, normalized, rank, has_more.
+    """
+    if level is not None and level not in (1, 2, 3, 4):
+        raise ValueError("a level is 1, 2, 3 or 4")
+    if number < 1 or (size is not None and size < 1):
+        raise ValueError("pages count from 1 and hold a hit at least")
+    some = payload_filter(points, document_ids, level, entity_ids)
+    hits = normalize_scores(top_k(queries, some, k, least)).join(some.select("point_id", "content"), "point_id")
+    if use_mmr:
+        named = hits.drop("rank").withColumnRenamed("point_id", "chunk_id")
+        hits = mmr(named, lam, k).withColumnRenamed("chunk_id", "point_id").withColumnRenamed("mmr_rank", "rank")
+    return page(hits.select("query_id", "point_id", "content", "score", "normalized", "rank"), size or k, number)
+
+
+def by_document(queries: DataFrame, points: DataFrame, document_id, k: int = 20, least: float = 0.0) -> DataFrame:
+    """[W11]"""
+    return search(queries, points, k, least, document_ids=[document_id])
+
+
+def by_entity(queries: DataFrame, points: DataFrame, entity_ids, k: int = 20, least: float = 0.0) -> DataFrame:
+    """[W11]"""
+    return search(queries, points, k, least, entity_ids=entity_ids)
+
+
+def by_level(queries: DataFrame, points: DataFrame, level: int, k: int = 20, least: float = 0.0) -> DataFrame:
+    """[W11]"""
+    return search(queries, points, k, least, level=level)

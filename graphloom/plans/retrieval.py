@@ -26,7 +26,7 @@ def graph_chunk_scores(paths: DataFrame, path_chunks: DataFrame, query_id: str =
 
 def coverage(chunks: DataFrame, wanted: DataFrame, query_id: str = "query_id") -> DataFrame:
     """[H3, U4] Share of a query's entities that a chunk mentions; wanted: query_id, entity_ids."""
-    met = chunks.join(wanted.withColumnRenamed("entity_ids", "_w"), query_id)
+    met = chunks.join(wanted.withColumnRenamed("entity_ids", "_w"), query_id, "left").withColumn("_w", F.coalesce("_w", F.array().cast(wanted.schema["entity_ids"].dataType)))
     return met.withColumn("entity_coverage_score", F.when(F.size("_w") > 0, F.size(F.array_intersect("entity_ids", "_w")) / F.size("_w")).otherwise(F.lit(0.0))).drop("_w")
 
 
@@ -39,12 +39,18 @@ def parse(questions: DataFrame, text: str = "q") -> DataFrame:
     return out.withColumn("strategy", Q.strategy(F.col("intent"), F.size("mentions"), F.col("needs_graph"))).withColumn("graph_strategy", Q.graph_strategy(F.col("relationship_types"), F.size("mentions")))
 
 
-def retrieve(queries: DataFrame, points: DataFrame, seeds: DataFrame, edges: DataFrame, nodes: DataFrame, node_points: DataFrame, k: int = 10, least: float = 0.0, types=None, depth: int = 1, strategy: str = "hybrid_parallel") -> DataFrame:
-    """[H2] query_id, point_id, vector_score, graph_score, source, score, rank.
+def retrieve(queries: DataFrame, points: DataFrame, seeds: DataFrame, edges: DataFrame, nodes: DataFrame, node_points: DataFrame, k: int = 10, least: float = 0.0, types=None, depth: int = 1, strategy: str = "hybrid_parallel", wanted: DataFrame | None = None, about: DataFrame | None = None, topics: DataFrame | None = None) -> DataFrame:
+    """[H2] query_id, point_id, vector_score, graph_score, entity_coverage_score, source, score, rank.
 
     queries: query_id, vector; seeds: query_id, node; node_points: node, point_id. vector_first walks from what the
-    vectors found, graph_first ranks by vectors only what the walk found; parallel unites both.
+    vectors found, graph_first ranks by vectors only what the walk found; parallel unites both. wanted (query_id,
+    entity_ids) and about (point_id, entity_ids, confidence_score) give coverage and confidence; a signal that is not
+    known is null and left out of the fusion. topics (point_id) restricts the points before the search. A side without
+    hits, or that is not there at all, leaves the other side's hits as they are.
     """
+    if topics is not None:
+        points = points.join(topics.select("point_id").distinct(), "point_id", "left_semi")
+        node_points = node_points.join(topics.select("point_id").distinct(), "point_id", "left_semi")
     v = vector.normalize_scores(vector.top_k(queries, points, 2 * k, least)).select("query_id", "point_id", F.col("normalized").alias("vector_score"))
     if strategy == "vector_first":
         seeds = v.join(node_points, "point_id").select("query_id", "node").distinct()
@@ -58,8 +64,14 @@ def retrieve(queries: DataFrame, points: DataFrame, seeds: DataFrame, edges: Dat
     both = merge_hits(v, g, ["query_id", "point_id"])
     if strategy == "graph_first":
         both = both.filter("graph_score is not null")
-    rows = both.withColumn("entity_coverage_score", F.lit(0.0)).withColumn("confidence_score", F.lit(0.5))
-    return vector.rank(vector.fuse(rows), "score", "point_id").filter(F.col("rank") <= k).select("query_id", "point_id", "vector_score", "graph_score", "source", "score", "rank")
+    rows = both if about is None else both.join(about, "point_id", "left")
+    if about is None:
+        rows = rows.withColumn("confidence_score", F.lit(None).cast("double"))
+    if about is None or wanted is None:
+        rows = rows.withColumn("entity_coverage_score", F.lit(None).cast("double"))
+    else:
+        rows = coverage(rows.withColumn("entity_ids", F.coalesce("entity_ids", F.array().cast(about.schema["entity_ids"].dataType))), wanted)
+    return vector.rank(vector.fuse(rows), "score", "point_id").filter(F.col("rank") <= k).select("query_id", "point_id", "vector_score", "graph_score", "entity_coverage_score", "source", "score", "rank")
 
 
 def deep_research(question: str, search: Callable[[str, int], DataFrame], sufficient: Callable[[str, list[str]], bool], sub_queries: Callable[[str, list[str]], list[str]], answer: Callable[[str, list[str]], str], rounds: int = 3) -> dict:

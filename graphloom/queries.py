@@ -108,15 +108,24 @@ ASKED = (
 )
 
 
-def asked_questions(spark, d=None):
-    return spark.createDataFrame([(i, q) for i, q in enumerate(ASKED)], "id int, q string")
+def worded(spark, d, forms, source: str, key: str, name: str):
+    """A sentence of each row of a table: one of the forms in turn, then the row's name."""
+    form = F.get(F.array(*map(F.lit, forms)), (F.col(key) % len(forms)).cast("int"))
+    return table(spark, d, source).select((F.col(key) + 10_000_000).cast("long").alias("id"), F.concat(form, F.lit(" "), F.col(name)))
 
 
-def _values(rows) -> str:
-    return ", ".join("(" + ", ".join(str(x) if not isinstance(x, str) else "'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows)
+def _worded_sql(forms, source: str, key: str, name: str) -> str:
+    quoted = ", ".join("'" + f.replace("'", "''") + "'" for f in forms)
+    return f"SELECT CAST({key} + 10000000 AS BIGINT) AS id, [{quoted}][CAST({key} % {len(forms)} AS INT) + 1] || ' ' || {name} AS q FROM {source}"
 
 
-QSQL = f"q0 AS (SELECT * FROM (VALUES {_values(list(enumerate(ASKED)))}) AS v(id, q)), q1 AS (SELECT id, q, trim(regexp_replace(regexp_replace(trim(q), '\\s+', ' ', 'g'), '\\?+$', '')) AS n FROM q0)"
+def asked_questions(spark, d):
+    """What users ask in conversations, and a question about each part."""
+    said = table(spark, d, "conversations").filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("q"))
+    return said.union(worded(spark, d, ASKED, "part", "p_partkey", "p_name"))
+
+
+QSQL = f"q0 AS (SELECT CAST(conv_id * 1000 + turn AS BIGINT) AS id, coalesce(text, '') AS q FROM conversations WHERE role = 'user' UNION ALL {_worded_sql(ASKED, 'part', 'p_partkey', 'p_name')}), q1 AS (SELECT id, q, trim(regexp_replace(regexp_replace(trim(q), '\\s+', ' ', 'g'), '\\?+$', '')) AS n FROM q0)"
 COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 TOP = f"hit AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, point_id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS point_id, {COS} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id) WHERE score >= 0.1), top AS (SELECT * FROM hit WHERE rank <= 20)"
 EDGES = """e AS (
@@ -175,11 +184,16 @@ def t29_vector_norms(spark, d):
     return points(spark, d).select("vec_id", r6(scores.norm(F.col("vector")), "norm"), r6(scores.cosine(F.col("vector"), F.col("vector")), "self"))
 
 
-PAIRS = f"pr AS (SELECT a.vec_id AS a, b.vec_id AS b, {COS} AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE {COS} >= 0.3)"
+PAIRS = f"pr AS (SELECT a.vec_id AS a, b.vec_id AS b, {COS} AS s, CASE WHEN a.vec_id % 50 = 0 OR b.vec_id % 50 = 0 THEN 0.5 ELSE 1.0 END AS fit FROM embeddings a JOIN embeddings b ON (a.label = b.label OR a.vec_id % 50 = 0 OR b.vec_id % 50 = 0) AND a.vec_id < b.vec_id WHERE {COS} >= 0.3)"
+
+
+def _kind():
+    """The label; every fiftieth vector is of no known type."""
+    return F.when(F.col("vec_id") % 50 == 0, F.lit("UNKNOWN")).otherwise(F.col("label").cast("string"))
 
 
 def _pairs(spark, d):
-    return vector.similar_pairs(points(spark, d).select(F.col("vec_id").alias("entity_id"), F.col("label").alias("entity_type"), "vector"), 0.3)
+    return vector.similar_pairs(points(spark, d).select(F.col("vec_id").alias("entity_id"), _kind().alias("entity_type"), "vector"), 0.3)
 
 
 @query(f"WITH {PAIRS} SELECT a, b, round(s, 6) AS similarity FROM pr")
@@ -188,20 +202,20 @@ def j7_similar_entities(spark, d):
 
 
 def _records(spark, d):
-    return points(spark, d).select(F.col("vec_id").alias("entity_id"), F.col("label").cast("string").alias("entity_type"), (F.col("vec_id") % 4).alias("mention_count"), F.lit("").alias("description"), F.col("vec_id").cast("string").alias("name"))
+    return points(spark, d).select(F.col("vec_id").alias("entity_id"), _kind().alias("entity_type"), (F.col("vec_id") % 4).alias("mention_count"), F.lit("").alias("description"), F.col("vec_id").cast("string").alias("name"))
 
 
-@query(f"WITH {PAIRS} SELECT a, b, round(greatest(0, least(1, 0.7 * s + 0.2 + 0.1 * least(1, least(a % 4, b % 4) / 2))), 6) AS confidence, s >= 0.95 AS auto_merge FROM pr")
+@query(f"WITH {PAIRS} SELECT a, b, round(greatest(0, least(1, 0.7 * s + 0.2 * fit + 0.1 * least(1, least(a % 4, b % 4) / 2))), 6) AS confidence, s >= 0.95 AND fit >= 0.9 AS auto_merge FROM pr")
 def t31_dedup_score(spark, d):
     return D.semantic_pairs(_pairs(spark, d), _records(spark, d)).select("a", "b", r6("confidence"), "auto_merge")
 
 
 @query(f"""WITH RECURSIVE {PAIRS}, und AS (SELECT a, b FROM pr UNION SELECT b, a FROM pr), walk(node, other) AS (SELECT a, a FROM und UNION SELECT w.node, u.b FROM walk w JOIN und u ON w.other = u.a),
 lab AS (SELECT node, min(other) AS component FROM walk GROUP BY node)
-SELECT component, count(*) AS size, (SELECT round(avg(s), 6) FROM pr JOIN lab x ON pr.a = x.node WHERE x.component = lab.component) AS mean_similarity FROM lab GROUP BY component""")
+SELECT component, count(*) AS size, (SELECT round(avg(s), 6) FROM pr JOIN lab x ON pr.a = x.node WHERE x.component = lab.component) AS mean_similarity, max_by(node, struct_pack(a := node % 4, b := length(CAST(node AS VARCHAR)), c := -node)) AS representative FROM lab GROUP BY component""")
 def a18_cluster_similarity(spark, d):
     p = _pairs(spark, d)
-    return D.cluster_similarity(p, components(p), _records(spark, d)).select("component", "size", r6("mean_similarity"))
+    return D.cluster_similarity(p, components(p), _records(spark, d)).select("component", "size", r6("mean_similarity"), "representative")
 
 
 @query("SELECT vec_id AS id, round(CASE WHEN vec_id % 3 = 0 THEN (0.4 * ((vec_id % 10) / 10.0) + 0.15 * 0.5 + 0.10 * ((vec_id % 7) / 7.0)) / 0.65 ELSE (0.4 * ((vec_id % 10) / 10.0) + 0.3 * ((vec_id % 5) / 5.0) + 0.15 * 0.5 + 0.10 * ((vec_id % 7) / 7.0)) / 0.95 END, 6) AS score FROM embeddings")
@@ -229,9 +243,9 @@ ed AS (SELECT 'region:' || n_regionkey AS s, 'nation:' || n_nationkey AS o FROM
 wk AS (SELECT query_id, node, o AS other FROM st JOIN ed ON s = node UNION ALL SELECT query_id, node, s FROM st JOIN ed ON o = node),
 sc AS (SELECT query_id, other, greatest(0, least(1, 0.3 + 0.4 * (coalesce(a.c, 0.5) + coalesce(b.c, 0.5)) / 2)) AS g FROM wk JOIN n a ON a.id = node LEFT JOIN n b ON b.id = other),
 g AS (SELECT query_id, CAST(split_part(other, ':', 2) AS BIGINT) AS point_id, avg(g) AS gs FROM sc WHERE other LIKE 'customer:%' AND CAST(split_part(other, ':', 2) AS BIGINT) IN (SELECT vec_id FROM embeddings) GROUP BY 1, 2),
-m AS (SELECT query_id, point_id, vs, gs, (0.4 * coalesce(vs, 0) + 0.3 * coalesce(gs, 0) + 0.15 * 0 + 0.10 * 0.5) / (CASE WHEN vs IS NULL THEN 0 ELSE 0.4 END + CASE WHEN gs IS NULL THEN 0 ELSE 0.3 END + 0.25) AS f FROM v FULL JOIN g USING (query_id, point_id)),
+m AS (SELECT query_id, point_id, vs, gs, ((query_id % 3 = point_id % 3)::INT + (query_id % 7 = point_id % 7)::INT) / 2 AS ec, (0.4 * coalesce(vs, 0) + 0.3 * coalesce(gs, 0) + 0.15 * ((query_id % 3 = point_id % 3)::INT + (query_id % 7 = point_id % 7)::INT) / 2 + 0.10 * (point_id % 10) / 10) / (CASE WHEN vs IS NULL THEN 0 ELSE 0.4 END + CASE WHEN gs IS NULL THEN 0 ELSE 0.3 END + 0.25) AS f FROM v FULL JOIN g USING (query_id, point_id)),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(f, 9) DESC, point_id) AS rank FROM m)
-SELECT query_id, point_id, round(vs, 6) AS vector_score, round(gs, 6) AS graph_score, CASE WHEN vs IS NULL THEN 'graph' WHEN gs IS NULL THEN 'vector' ELSE 'hybrid' END AS source, round(f, 6) AS score, rank FROM k WHERE rank <= 10""")
+SELECT query_id, point_id, round(vs, 6) AS vector_score, round(gs, 6) AS graph_score, CAST(ec AS DOUBLE) AS entity_coverage_score, CASE WHEN vs IS NULL THEN 'graph' WHEN gs IS NULL THEN 'vector' ELSE 'hybrid' END AS source, round(f, 6) AS score, rank FROM k WHERE rank <= 10""")
 def h2_hybrid_retrieve(spark, d):
     """Flagship: each query vector with its nation as seed; chunks of nations' customers come in by the graph."""
     from graphloom.plans.retrieval import retrieve
@@ -239,8 +253,11 @@ def h2_hybrid_retrieve(spark, d):
     p = points(spark, d)
     seeds = asked(spark, d).select("query_id", F.concat(F.lit("nation:"), (F.col("query_id") % 25).cast("string")).alias("node"))
     held = p.select(F.concat(F.lit("customer:"), F.col("vec_id").cast("string")).alias("node"), F.col("vec_id").alias("point_id"))
-    found = retrieve(asked(spark, d), p.withColumnRenamed("vec_id", "point_id"), seeds, edges(spark, d), nodes(spark, d), held, 10, 0.1, ["CONTAINS"], 1)
-    return found.select("query_id", "point_id", r6("vector_score"), r6("graph_score"), "source", r6("score"), F.col("rank").cast("long").alias("rank"))
+    mark = lambda c, n: F.concat(F.lit(f"mod{n}:"), (F.col(c) % n).cast("string"))
+    wanted = asked(spark, d).select("query_id", F.array(mark("query_id", 3), mark("query_id", 7)).alias("entity_ids"))
+    about = p.select(F.col("vec_id").alias("point_id"), F.array(mark("vec_id", 3), mark("vec_id", 7)).alias("entity_ids"), ((F.col("vec_id") % 10) / 10.0).alias("confidence_score"))
+    found = retrieve(asked(spark, d), p.withColumnRenamed("vec_id", "point_id"), seeds, edges(spark, d), nodes(spark, d), held, 10, 0.1, ["CONTAINS"], 1, wanted=wanted, about=about)
+    return found.select("query_id", "point_id", r6("vector_score"), r6("graph_score"), r6("entity_coverage_score"), "source", r6("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(None)
@@ -499,13 +516,13 @@ CASE WHEN least(length(a.n), length(b.n)) < 4 THEN 0.96 WHEN least(length(a.n),
 
 @query(f"WITH {FZ} SELECT a, b, round(score, 6) AS score, round(greatest(0, least(1, score - 0.25 * least(abs(length(x) - length(y)) / greatest(length(x), length(y)), 0.4) + greatest(0, score - threshold))), 6) AS confidence FROM fz WHERE score >= threshold")
 def j8_blocked_fuzzy(spark, d):
-    return D.fuzzy_pairs(_names(spark, d), 0.70).select("a", "b", r6("score"), r6("confidence"))
+    return D.fuzzy_pairs(_names(spark, d), 0.70, score=scores.edit_similarity).select("a", "b", r6("score"), r6("confidence"))
 
 
 @query("""WITH nm AS (SELECT p_partkey AS k, lower(p_name) AS n FROM part), s AS (SELECT a.k AS a, b.k AS b, 1 - levenshtein(a.n, b.n) / greatest(length(a.n), length(b.n)) AS score, CASE WHEN least(length(a.n), length(b.n)) < 4 THEN 0.96 WHEN least(length(a.n), length(b.n)) < 8 THEN 0.62 ELSE 0.60 END AS t FROM nm a JOIN nm b ON a.k <> b.k),
 r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS k FROM s WHERE score >= t) SELECT least(a, b) AS a, greatest(a, b) AS b, round(max(score), 6) AS score FROM r WHERE k <= 3 GROUP BY 1, 2""")
 def j9_topk_fuzzy(spark, d):
-    return D.fuzzy_top_k(_names(spark, d), None, 3, 0.60).select("a", "b", r6("score"))
+    return D.fuzzy_top_k(_names(spark, d), None, 3, 0.60, score=scores.edit_similarity).select("a", "b", r6("score"))
 
 
 # --- text -------------------------------------------------------------------------------------------------------------
@@ -621,12 +638,12 @@ _TYPES = "list_sort(list_distinct(list_filter([" + ", ".join(f"CASE WHEN contain
 
 @query(f"WITH {QSQL}, {_INTENT} SELECT id, intent, CAST(confidence AS DOUBLE) AS confidence FROM q4")
 def t23_intent(spark, d):
-    return asked_questions(spark).select("id", Q.intent(F.col("q")).alias("i")).select("id", "i.intent", "i.confidence")
+    return asked_questions(spark, d).select("id", Q.intent(F.col("q")).alias("i")).select("id", "i.intent", "i.confidence")
 
 
 @query(f"WITH {QSQL} SELECT id, array_to_string({_TYPES}, ',') AS types FROM q1")
 def t24_relationship_keywords(spark, d):
-    return asked_questions(spark).select("id", F.array_join(Q.relationship_types(F.col("q")), ",").alias("types"))
+    return asked_questions(spark, d).select("id", F.array_join(Q.relationship_types(F.col("q")), ",").alias("types"))
 
 
 _WORDS_IN = lambda ws: " OR ".join(f"contains(lower(n), '{w}')" for w in ws)
@@ -636,18 +653,24 @@ _WORDS_IN = lambda ws: " OR ".join(f"contains(lower(n), '{w}')" for w in ws)  #
 intent IN ('structural', 'hybrid') OR len({_TYPES}) > 0 OR {_WORDS_IN(Q.GRAPH_WORDS)} AS needs_graph,
 intent IN ('hybrid', 'procedural') OR {_WORDS_IN(Q.DEEP_WORDS)} OR len({_TYPES}) > 1 OR len(regexp_split_to_array(trim(q), '\\s+')) > 15 AS complex FROM q4""")
 def t27_depth(spark, d):
-    q = asked_questions(spark).withColumn("kind", Q.intent(F.col("q"))["intent"]).withColumn("types", Q.relationship_types(F.col("q")))
+    q = asked_questions(spark, d).withColumn("kind", Q.intent(F.col("q"))["intent"]).withColumn("types", Q.relationship_types(F.col("q")))
     return q.select("id", Q.max_depth(F.col("q")).alias("depth"), Q.needs_graph(F.col("kind"), F.col("types"), F.col("q")).alias("needs_graph"), Q.is_complex(F.col("kind"), F.col("types"), F.col("q")).alias("complex"))
 
 
-@query(f"WITH {QSQL}" + " UNION ALL ".join(f" SELECT id, '{o}' AS operator, '{f}' AS field, unnest(regexp_extract_all(n, '{p}', 1)) AS value FROM q1" for o, f, p in Q.CONSTRAINTS))
+def _ascii_bounds(pattern: str) -> str:
+    """A pattern with Unicode words for an engine whose word characters are ASCII."""
+    out = pattern.replace("(?iU)", "(?i)").replace("(\\w+)\\b", "(\\w+)").replace("\\w", "[\\p{L}\\p{N}_]")
+    return out.replace("(?i)\\b", "(?i)(?:^|[^\\p{L}\\p{N}_])", 1)
+
+
+@query(f"WITH {QSQL}" + " UNION ALL ".join(f" SELECT id, '{o}' AS operator, '{f}' AS field, unnest(regexp_extract_all(n, '{_ascii_bounds(p)}', 1)) AS value FROM q1" for o, f, p in Q.CONSTRAINTS))
 def f8_constraints(spark, d):
-    return asked_questions(spark).select("id", F.explode(Q.constraints(F.col("q"))).alias("c")).select("id", "c.operator", "c.field", "c.value")
+    return asked_questions(spark, d).select("id", F.explode(Q.constraints(F.col("q"))).alias("c")).select("id", "c.operator", "c.field", "c.value")
 
 
 @query(f"WITH {QSQL} SELECT id, substr(md5(q), 1, 12) AS query_id FROM q1")
 def t28_query_id(spark, d):
-    return asked_questions(spark).select("id", Q.query_id(F.col("q")).alias("query_id"))
+    return asked_questions(spark, d).select("id", Q.query_id(F.col("q")).alias("query_id"))
 
 
 _CONV = "q0 AS (SELECT conv_id * 1000 + turn AS id, coalesce(text, '') AS q FROM conversations WHERE role = 'user'), q1 AS (SELECT id, q, trim(regexp_replace(regexp_replace(trim(q), '\\s+', ' ', 'g'), '\\?+$', '')) AS n FROM q0)"

@@ -10,7 +10,7 @@ from graphloom.functions import text as X
 from graphloom.operators import candidates as C
 from graphloom.operators import chunks, curate, extract, graph
 from graphloom.plans import commands
-from graphloom.queries import CAND, EDGES, QSQL, _CONV, _INTENT, _TYPES, _ends, _starts, _values, _walk_sql, asked_questions, candidate_rows, edges, query, r6
+from graphloom.queries import CAND, EDGES, QSQL, _CONV, _INTENT, _TYPES, _ends, _starts, _walk_sql, _worded_sql, asked_questions, candidate_rows, edges, query, r6, worded
 from graphloom.session import table
 from graphloom.streaming import updates
 
@@ -20,19 +20,20 @@ SENTENCES = (
 )
 
 
-def _sentences(spark):
-    return spark.createDataFrame(list(enumerate(SENTENCES)), "id int, text string")
+def _sentences(spark, d):
+    """The documents, and a sentence about each part."""
+    return table(spark, d, "documents").select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).union(worded(spark, d, SENTENCES, "part", "p_partkey", "p_name"))
 
 
-SSQL = f"s AS (SELECT * FROM (VALUES {_values(list(enumerate(SENTENCES)))}) AS v(id, text))"
+SSQL = f"s AS (SELECT CAST(doc_id AS BIGINT) AS id, coalesce(text, '') AS text FROM documents UNION ALL {_worded_sql(SENTENCES, 'part', 'p_partkey', 'p_name')})"
 _REL = " UNION ALL ".join(
     f"SELECT id, '{k}' AS type, unnest(regexp_extract_all(text, '(?i)([A-Za-z0-9 _-]+){w}([A-Za-z0-9 _-]+)', {1 if fwd else 2})) AS source, unnest(regexp_extract_all(text, '(?i)([A-Za-z0-9 _-]+){w}([A-Za-z0-9 _-]+)', {2 if fwd else 1})) AS target FROM s" for k, w, fwd in extract.CONNECTIVES
 )
 
 
-@query(f"WITH {SSQL}, r AS ({_REL}) SELECT DISTINCT id, type, trim(source) AS source, trim(target) AS target FROM r WHERE length(trim(source)) BETWEEN 1 AND 50 AND length(trim(target)) BETWEEN 1 AND 50 AND lower(trim(source)) <> lower(trim(target))")
+@query(f"WITH s AS (SELECT id, q AS text FROM ({_worded_sql(SENTENCES, 'part', 'p_partkey', 'p_name')})), r AS ({_REL}) SELECT DISTINCT id, type, trim(source) AS source, trim(target) AS target FROM r WHERE length(trim(source)) BETWEEN 1 AND 50 AND length(trim(target)) BETWEEN 1 AND 50 AND lower(trim(source)) <> lower(trim(target))")
 def t17_pattern_relationships(spark, d):
-    return extract.relationships(_sentences(spark)).select("id", "type", "source", "target")
+    return extract.relationships(worded(spark, d, SENTENCES, "part", "p_partkey", "p_name").toDF("id", "text")).select("id", "type", "source", "target")
 
 
 _AC = (r"\b((?:[A-Z][A-Za-z-]+ ){1,5}[A-Z][A-Za-z-]+) \(([A-Z]{2,8})\)", r"\b([A-Z]{2,8}) \(((?:[A-Z][A-Za-z-]+ ){1,5}[A-Z][A-Za-z-]+)\)")
@@ -40,12 +41,12 @@ _AC = (r"\b((?:[A-Z][A-Za-z-]+ ){1,5}[A-Z][A-Za-z-]+) \(([A-Z]{2,8})\)", r"\b([A
 
 @query(f"WITH {SSQL} SELECT id, unnest(regexp_extract_all(text, '{_AC[0]}', 2)) AS acronym, unnest(regexp_extract_all(text, '{_AC[0]}', 1)) AS expansion FROM s UNION ALL SELECT id, unnest(regexp_extract_all(text, '{_AC[1]}', 1)), unnest(regexp_extract_all(text, '{_AC[1]}', 2)) FROM s")
 def t14_acronyms(spark, d):
-    return _sentences(spark).select("id", F.explode(X.acronym_definitions(F.col("text"))).alias("a")).select("id", "a.acronym", "a.expansion")
+    return _sentences(spark, d).select("id", F.explode(X.acronym_definitions(F.col("text"))).alias("a")).select("id", "a.acronym", "a.expansion")
 
 
 @query(f"WITH {SSQL}, a AS (SELECT unnest(regexp_extract_all(text, '{_AC[0]}', 2)) AS acronym, unnest(regexp_extract_all(text, '{_AC[0]}', 1)) AS expansion FROM s UNION ALL SELECT unnest(regexp_extract_all(text, '{_AC[1]}', 1)), unnest(regexp_extract_all(text, '{_AC[1]}', 2)) FROM s) SELECT acronym, expansion, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY acronym), 6) AS share FROM a GROUP BY 1, 2")
 def a19_acronym_dictionary(spark, d):
-    return extract.acronym_dictionary(_sentences(spark)).select("acronym", "expansion", "n", r6("share"))
+    return extract.acronym_dictionary(_sentences(spark, d)).select("acronym", "expansion", "n", r6("share"))
 
 
 _VERSION = "coalesce(" + ", ".join(f"nullif(regexp_extract(text, '{p}', 1), '')" for p in X.VERSION_PATTERNS) + ")"
@@ -68,15 +69,15 @@ def f9_validation(spark, d):
     kind = F.when(F.col("l_linenumber") % 4 == 0, "IS_A").when(F.col("l_linenumber") % 4 == 1, "").otherwise("CONTAINS")
     r = l.select(F.col("l_orderkey").alias("chunk_id"), name("part", "l_partkey").alias("source"), name("supplier", "l_suppkey").alias("target"), kind.alias("type"), (F.col("l_discount") * 10).alias("confidence"))
     known = l.select(F.col("l_orderkey").alias("chunk_id"), name("part", "l_partkey").alias("name")).unionByName(l.filter("l_quantity > 10").select(F.col("l_orderkey").alias("chunk_id"), name("supplier", "l_suppkey").alias("name")))
-    return C.validity(r, known, cutoff=0.95).groupBy(F.coalesce("reason", F.lit("valid")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    return C.validity(r, known, cutoff=0.95, score=scores.edit_similarity).groupBy(F.coalesce("reason", F.lit("valid")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-REWRITES = ((1, "5 V and NASA", "NASA"), (2, "5 V and NASA", "5 volts"), (3, "5 V", "5 volt"), (4, "y" * 500, "y" * 100), (5, "12.5 kg", "12.5"))
-
-
-@query(f"WITH r AS (SELECT * FROM (VALUES {_values(REWRITES)}) v(id, a, b)) SELECT id, CASE WHEN len(list_filter(regexp_extract_all(a, '\\d+(?:\\.\\d+)?'), lambda x: NOT list_contains(regexp_extract_all(b, '\\d+(?:\\.\\d+)?'), x))) > 0 THEN 'rejected:missing_numbers' WHEN len(list_filter(regexp_extract_all(a, '\\b[A-Z]{{2,}}\\b'), lambda x: NOT list_contains(regexp_extract_all(b, '\\b[A-Z]{{2,}}\\b'), x))) > 0 THEN 'rejected:missing_acronyms' WHEN length(a) > 400 AND length(b) < 0.4 * length(a) THEN 'rejected:too_short' ELSE 'accepted' END AS verdict FROM r")
+@query(f"WITH r AS (SELECT doc_id AS id, coalesce(text, '') AS a, CASE doc_id % 4 WHEN 0 THEN coalesce(text, '') WHEN 1 THEN regexp_replace(coalesce(text, ''), '\\d+', '', 'g') WHEN 2 THEN lower(coalesce(text, '')) ELSE substr(coalesce(text, ''), 1, CAST(length(coalesce(text, '')) // 3 AS INT)) END AS b FROM documents) SELECT id, CASE WHEN len(list_filter(regexp_extract_all(a, '\\d+(?:\\.\\d+)?'), lambda x: NOT list_contains(regexp_extract_all(b, '\\d+(?:\\.\\d+)?'), x))) > 0 THEN 'rejected:missing_numbers' WHEN len(list_filter(list_filter(regexp_split_to_array(a, '[^\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[A-Z]{{2,}}')), lambda x: NOT list_contains(list_filter(regexp_split_to_array(b, '[^\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[A-Z]{{2,}}')), x))) > 0 THEN 'rejected:missing_acronyms' WHEN length(a) > 400 AND length(b) < 0.4 * length(a) THEN 'rejected:too_short' ELSE 'accepted' END AS verdict FROM r")
 def t22_rewrite_check(spark, d):
-    return spark.createDataFrame(REWRITES, "id int, a string, b string").select("id", X.rewrite_verdict(F.col("a"), F.col("b")).alias("verdict"))
+    """Each document against what one of four careless rewrites leaves of it."""
+    a = F.coalesce("text", F.lit(""))
+    b = F.when(F.col("doc_id") % 4 == 0, a).when(F.col("doc_id") % 4 == 1, F.regexp_replace(a, r"\d+", "")).when(F.col("doc_id") % 4 == 2, F.lower(a)).otherwise(F.substr(a, F.lit(1), F.floor(F.length(a) / 3).cast("int")))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), X.rewrite_verdict(a, b).alias("verdict"))
 
 
 @query("""SELECT p_partkey AS id, round(greatest(0, least(1, 0.72 + least(length(p_name) / 50, 0.10) + CASE WHEN regexp_matches(p_type || ' unit', '(?i)system|subsystem|module|unit|procedure|mode') THEN 0.05 ELSE 0 END
@@ -97,13 +98,13 @@ _MENT = f"list_distinct(regexp_extract_all({_REST}, '[A-Z][A-Za-z0-9-]*(?: [A-Z]
 
 @query(f"WITH {QSQL}, {_INTENT} SELECT id, CASE WHEN intent = 'semantic' AND len({_MENT}) = 0 THEN 'vector_only' WHEN intent = 'structural' AND len({_MENT}) > 0 THEN 'graph_first' WHEN intent = 'procedural' THEN 'graph_first' ELSE 'hybrid_parallel' END AS strategy FROM q4")
 def h1_strategy(spark, d):
-    q = asked_questions(spark).withColumn("kind", Q.intent(F.col("q"))["intent"])
+    q = asked_questions(spark, d).withColumn("kind", Q.intent(F.col("q"))["intent"])
     return q.select("id", Q.strategy(F.col("kind"), F.size(Q.mentions(F.col("q"))), F.lit(True)).alias("strategy"))
 
 
 @query(f"WITH {QSQL}, t AS (SELECT id, {_TYPES} AS t, len({_MENT}) AS m FROM q1) SELECT id, CASE WHEN list_contains(t, 'PRECEDES') THEN 'sequential' WHEN list_contains(t, 'REFERENCES') THEN 'procedural' WHEN list_contains(t, 'CONTAINS') OR list_contains(t, 'PART_OF') THEN 'hierarchical' WHEN m >= 2 THEN 'shortest_path' ELSE 'multi_hop' END AS strategy FROM t")
 def g10_graph_strategy(spark, d):
-    return asked_questions(spark).select("id", Q.graph_strategy(Q.relationship_types(F.col("q")), F.size(Q.mentions(F.col("q")))).alias("strategy"))
+    return asked_questions(spark, d).select("id", Q.graph_strategy(Q.relationship_types(F.col("q")), F.size(Q.mentions(F.col("q")))).alias("strategy"))
 
 
 _STOP = ", ".join(f"'{w}'" for w in Q.STOP_WORDS)
@@ -111,12 +112,12 @@ _STOP = ", ".join(f"'{w}'" for w in Q.STOP_WORDS)
 
 @query(f"WITH {QSQL} SELECT id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(n), '[a-z][a-z0-9-]{{2,}}'), lambda w: w NOT IN ({_STOP})))), ',') AS keywords FROM q1")
 def t26_keywords(spark, d):
-    return asked_questions(spark).select("id", F.array_join(F.array_sort(Q.keywords(F.col("q"))), ",").alias("keywords"))
+    return asked_questions(spark, d).select("id", F.array_join(F.array_sort(Q.keywords(F.col("q"))), ",").alias("keywords"))
 
 
 @query(f"WITH {QSQL} " + " UNION ALL ".join(f"SELECT id, '{t}' AS term, '{','.join(s)}' AS synonyms FROM q1 WHERE regexp_matches(lower(n), '\\b{t}\\b')" for t, s in Q.SYNONYMS))
 def t25_expansion(spark, d):
-    return asked_questions(spark).select("id", F.explode(Q.expansions(F.col("q"))).alias("e")).select("id", "e.term", F.array_join("e.synonyms", ",").alias("synonyms"))
+    return asked_questions(spark, d).select("id", F.explode(Q.expansions(F.col("q"))).alias("e")).select("id", "e.term", F.array_join("e.synonyms", ",").alias("synonyms"))
 
 
 @query(f"WITH {_CONV} SELECT count(*) FILTER (len(regexp_split_to_array(trim(q), '\\s+')) >= 2) AS valid, count(*) AS total FROM q1")
@@ -198,12 +199,12 @@ def w14_snippet(spark, d):
     return table(spark, d, "documents").filter(F.col("text").contains(".")).select("doc_id", X.snippet(F.col("text"), at - 1, at).alias("context"))
 
 
-ANSWERS = ((1, "It works.", 0.8), (2, "The bus feeds the payload through two lines and one switch box.", 0.8), (3, "I don't have enough information to say how this part of the system works today.", 0.8), (4, "I cannot answer", None))
-
-
-@query("SELECT * FROM (VALUES (1, 0.4), (2, 0.8), (3, 0.16), (4, 0.0)) v(id, confidence)".replace("SELECT *", "SELECT id, CAST(confidence AS DOUBLE) AS confidence"))
+@query("""WITH a AS (SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 THEN 'I don''t have enough information to say. ' WHEN conv_id % 5 = 1 THEN 'I cannot answer that. ' ELSE '' END || coalesce(text, '') AS t, CASE WHEN conv_id % 7 <> 0 THEN (turn % 10) / 10.0 END AS s FROM conversations WHERE role = 'assistant')
+SELECT conv_id, turn, round(greatest(0, least(1, coalesce(s, 0) * CASE WHEN len(regexp_split_to_array(trim(t), '\\s+')) < 10 THEN 0.5 ELSE 1 END * CASE WHEN contains(lower(t), 'don''t have enough information') OR contains(lower(t), 'cannot answer') THEN 0.2 ELSE 1 END)), 6) AS confidence FROM a""".replace("\\\\", "\\"))
 def t34_answer_confidence(spark, d):
-    return spark.createDataFrame(ANSWERS, "id int, a string, s double").select("id", r6(scores.answer_confidence(F.col("a"), F.col("s")), "confidence"))
+    start = F.when(F.col("conv_id") % 5 == 0, "I don't have enough information to say. ").when(F.col("conv_id") % 5 == 1, "I cannot answer that. ").otherwise("")
+    said = table(spark, d, "conversations").filter("role = 'assistant'").select("conv_id", "turn", F.concat(start, F.coalesce("text", F.lit(""))).alias("a"), F.when(F.col("conv_id") % 7 != 0, (F.col("turn") % 10) / 10.0).alias("s"))
+    return said.select("conv_id", "turn", r6(scores.answer_confidence(F.col("a"), F.col("s")), "confidence"))
 
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso FROM events")
