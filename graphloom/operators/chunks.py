@@ -81,3 +81,8 @@ def mentioning(chunks: DataFrame, entity_ids: list[str], most: int | None = 100)
     """[F13, H3] In order of level, path; None takes all, in no order."""
     found = chunks.filter(F.arrays_overlap("entity_ids", F.array(*map(F.lit, entity_ids)))).dropDuplicates(["chunk_id"])
     return found if most is None else found.orderBy("level", "path").limit(most)
+
+
+def fetch(chunks: DataFrame, ids: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """[J5] The chunks whose id is asked for, each once however often it is asked; Spark chooses how to join by size."""
+    return chunks.join(ids.select(key).distinct(), key, "left_semi")

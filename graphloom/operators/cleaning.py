@@ -15,7 +15,7 @@ def clean(texts: DataFrame, text: str = "text", out: str = "cleaned") -> DataFra
     """
     held = texts.withColumn("_p", udfs.protect(F.col(text)))
     repaired = X.ocr_words(udfs.ocr_numbers(X.remove_boilerplate(F.col("_p.text"))))
-    return held.withColumn(out, X.tidy_whitespace(udfs.restore(X.tidy_whitespace(repaired), F.col("_p.held")))).drop("_p")
+    return held.withColumn(out, udfs.restore(X.tidy_whitespace(repaired), F.col("_p.held"))).drop("_p")
 
 
 def statistics(cleaned: DataFrame, before: str = "text", after: str = "cleaned") -> DataFrame:

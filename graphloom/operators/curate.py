@@ -5,11 +5,14 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from graphloom.functions import udfs
 from graphloom.functions.text import uuid5
 from graphloom.operators.candidates import merge_groups
 
+PARTS = 32
 EDITABLE = ("canonical_name", "candidate_type", "description", "aliases", "confidence_score")
 
 
@@ -89,3 +92,31 @@ def compare(pairs: DataFrame) -> DataFrame:
         F.size(F.array_intersect("a.aliases", "b.aliases")).alias("shared_aliases"), (F.col("a.candidate_type") == F.col("b.candidate_type")).alias("same_type"),
         name(first).alias("primary_name"), F.array_sort(F.array_union("a.aliases", "b.aliases")).alias("merged_aliases"), (F.col("a.mention_count") + F.col("b.mention_count")).alias("mention_count"), F.greatest("a.confidence_score", "b.confidence_score").alias("confidence_score"),
     )
+
+
+def duplicate_suggestions(wanted: DataFrame, rows: DataFrame, k: int = 5, least: float = 0.7, score=udfs.lcs_similarity, hints: DataFrame | None = None) -> DataFrame:
+    """[J16] source, target, score, reason, rank: the k likeliest duplicates of each wanted candidate_key among all rows.
+
+    A shared alias scores 1, a name among the other's aliases 0.9, an embedding hint (source, target, score) its own score,
+    names at least as alike as `least` their ratio; the best reason counts. Each wanted row meets PARTS parts of the rows.
+    """
+    none = F.array().cast("array<string>")
+    low = lambda c: F.transform(F.coalesce(F.col(c), none), lambda x: F.lower(x))
+    named = rows.select("candidate_key", F.lower("canonical_name").alias("name"), low("aliases").alias("aliases"))
+    a = named.join(wanted.select("candidate_key").distinct(), "candidate_key", "left_semi").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))).alias("a")
+    b = named.withColumn("part", F.pmod(F.xxhash64("candidate_key"), F.lit(PARTS)).cast("int")).alias("b")
+    met = a.join(b, (F.col("a.part") == F.col("b.part")) & (F.col("a.candidate_key") != F.col("b.candidate_key")))
+    shared = F.arrays_overlap("a.aliases", "b.aliases")
+    inside = F.array_contains("b.aliases", F.col("a.name")) | F.array_contains("a.aliases", F.col("b.name"))
+    found = met.select(F.col("a.candidate_key").alias("source"), F.col("b.candidate_key").alias("target"), shared.alias("_s"), inside.alias("_i"), score(F.col("a.name"), F.col("b.name")).alias("_r"))
+    reason = F.when(F.col("_s"), "shared_alias").when(F.col("_i"), "alias_match").when(F.col("_r") > least, "similar_name")
+    hits = found.withColumn("reason", reason).filter("reason is not null").select("source", "target", F.when(F.col("_s"), 1.0).when(F.col("_i"), 0.9).otherwise(F.col("_r")).alias("score"), "reason")
+    if hints is not None:
+        hits = hits.unionByName(hints.join(wanted.select(F.col("candidate_key").alias("source")).distinct(), "source", "left_semi").select("source", "target", "score", F.lit("embedding").alias("reason")))
+    best = hits.groupBy("source", "target").agg(F.max(F.struct("score", "reason")).alias("m")).select("source", "target", "m.score", "m.reason")
+    return best.withColumn("rank", F.row_number().over(W.partitionBy("source").orderBy(F.round("score", 9).desc(), "target"))).filter(F.col("rank") <= k)
+
+
+def preview_merge(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """[C6] What merge() would make of each group, without changing anything: the merged row, and how many go into it."""
+    return merge_groups(rows, groups).join(groups.join(rows.select("candidate_key"), "candidate_key").groupBy("group").agg(F.count(F.lit(1)).alias("members"), F.collect_set("candidate_key").alias("_k")), F.array_contains("_k", F.col("candidate_key"))).drop("_k", "group")

@@ -120,3 +120,17 @@ def answer_context(hits: DataFrame, most: int = 5, longest: int = 1500) -> DataF
     rows = hits.withColumn("_r", F.row_number().over(w)).withColumn("_m", F.avg("score").over(W.partitionBy("query_id")))
     top = rows.filter(F.col("_r") <= most).withColumn("_line", F.concat(F.lit("["), F.col("_r").cast("string"), F.lit("] "), F.substring("content", 1, longest)))
     return top.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "_line"))), lambda x: x["_line"]), "\n\n").alias("context"), F.transform(F.array_sort(F.collect_list(F.struct("_r", "chunk_id"))), lambda x: x["chunk_id"]).alias("citations"), F.first("_m").alias("mean_score"))
+
+
+def union_relationships(models: DataFrame, rules: DataFrame) -> DataFrame:
+    """[U2] What models and what patterns found, one under the other; source_extractor tells which. Columns of either, missing ones null."""
+    named = lambda df, kind: df if "source_extractor" in df.columns else df.withColumn("source_extractor", F.lit(kind))
+    return named(models, "llm").unionByName(named(rules, "pattern"), allowMissingColumns=True)
+
+
+def union_known(*sides: DataFrame) -> DataFrame:
+    """[U2] chunk_id, name: the entities that any side knows in a chunk, each once by its lower-cased name."""
+    out = sides[0].select("chunk_id", "name")
+    for s in sides[1:]:
+        out = out.unionByName(s.select("chunk_id", "name"))
+    return out.groupBy("chunk_id", F.lower(F.trim("name")).alias("_n")).agg(F.min("name").alias("name")).drop("_n")

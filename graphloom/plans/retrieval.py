@@ -20,7 +20,8 @@ def merge_hits(vectors: DataFrame, graphs: DataFrame, keys: list[str]) -> DataFr
 
 def graph_chunk_scores(paths: DataFrame, path_chunks: DataFrame, query_id: str = "query_id") -> DataFrame:
     """[H3] Mean score of the paths that hold a chunk; paths: query_id, nodes, score; path_chunks: node, chunk_id."""
-    each = paths.select(query_id, "score", F.monotonically_increasing_id().alias("_p"), F.explode("nodes").alias("node")).join(path_chunks, "node")
+    numbered = paths.withColumn("_p", F.monotonically_increasing_id())  # before the explosion, or each node would be a path
+    each = numbered.select(query_id, "score", "_p", F.explode("nodes").alias("node")).join(path_chunks, "node")
     return each.dropDuplicates([query_id, "_p", "chunk_id"]).groupBy(query_id, "chunk_id").agg(F.avg("score").alias("graph_score"))
 
 

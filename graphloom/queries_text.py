@@ -221,8 +221,7 @@ def f3_point_lookup(spark, d):
 
 @query(f"WITH {CAND} SELECT candidate_key FROM cand WHERE status IN ('pending', 'approved') ORDER BY confidence_score DESC, mention_count DESC, candidate_key LIMIT 2000")
 def src10_candidate_scan(spark, d):
-    c = candidate_rows(spark, d).filter(F.col("status").isin("pending", "approved"))
-    return c.orderBy(F.desc("confidence_score"), F.desc("mention_count"), "candidate_key").limit(2000).select("candidate_key")
+    return C.scan(candidate_rows(spark, d)).select("candidate_key")
 
 
 @query("SELECT status, count(*) AS n FROM (SELECT CASE WHEN doc_id % 7 = 0 THEN 'new' WHEN doc_id % 5 = 0 THEN 'modified' ELSE 'unchanged' END AS status FROM documents WHERE doc_id % 11 <> 0 UNION ALL SELECT 'deleted' FROM documents WHERE doc_id % 11 = 0 AND doc_id % 7 <> 0) GROUP BY 1")
