@@ -38,7 +38,7 @@ BLOCK = 1024
 PERCENTILE = 90
 MAGIC = b"GLTK"
 FILE_IDS = 4_000_000  # ids in a file, at most STEP_BYTES of text or one document more
-STEP_BYTES = 4_000_000  # of texts that are encoded at a time
+STEP_BYTES = 8_000_000  # of texts that are encoded at a time
 CACHE = 250_000  # words in each of the two generations that a worker remembers
 END_ID = 1
 
