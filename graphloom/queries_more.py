@@ -188,13 +188,13 @@ def u6_semantic_suggestions(spark, d):
 
 
 @query("""WITH l AS (SELECT l_orderkey % 50 AS query_id, row_number() OVER () AS p, l_discount AS score, l_partkey AS a, l_suppkey AS b FROM lineitem), n AS (SELECT query_id, p, score, a % 40 AS chunk_id FROM l UNION SELECT query_id, p, score, b % 40 FROM l)
-SELECT query_id, chunk_id, round(avg(score), 6) AS graph_score FROM n GROUP BY 1, 2""")
+SELECT query_id, chunk_id, round(avg(score), 9) AS graph_score FROM n GROUP BY 1, 2""")
 def h3_graph_chunk_scores(spark, d):
     l = table(spark, d, "lineitem")  # noqa: E741
     part, supplier = F.concat(F.lit("p"), F.col("l_partkey").cast("string")), F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
     paths = l.select((F.col("l_orderkey") % 50).alias("query_id"), F.array(part, supplier).alias("nodes"), F.col("l_discount").alias("score"))
     held = l.select(part.alias("node"), (F.col("l_partkey") % 40).alias("chunk_id")).distinct().union(l.select(supplier.alias("node"), (F.col("l_suppkey") % 40).alias("chunk_id")).distinct())
-    return retrieval.graph_chunk_scores(paths, held).select("query_id", "chunk_id", r6("graph_score"))
+    return retrieval.graph_chunk_scores(paths, held).select("query_id", "chunk_id", F.round("graph_score", 9).alias("graph_score"))
 
 
 # --- curation and commands --------------------------------------------------------------------------------------------
