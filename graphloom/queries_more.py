@@ -72,10 +72,10 @@ def g14_similarity_clusters(spark, d):
     return components(_pairs(spark, d))
 
 
-@query("SELECT doc_id, lang FROM documents WHERE source = 'src1' AND doc_id % 4 = 2")
+@query("SELECT doc_id, lang FROM documents WHERE source = 'src1'")
 def g19_document_chunks(spark, d):
     c = table(spark, d, "documents").select("doc_id", "lang", F.col("source").alias("document_id"), (F.col("doc_id") % 4 + 1).cast("int").alias("level"), F.col("doc_id").cast("string").alias("path"))
-    return chunks.of_document(c, "src1", 3).select("doc_id", "lang")
+    return chunks.of_document(c, "src1").select("doc_id", "lang")
 
 
 @query(f"WITH {CAND}, g AS (SELECT *, user_id % 50 AS grp FROM cand), s AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY mention_count DESC, length(canonical_name) DESC, candidate_key DESC) AS r FROM g) SELECT candidate_key, grp AS survivor_of FROM s WHERE r = 1")

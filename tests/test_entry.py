@@ -6,6 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+import graphloom.queries_more  # noqa: F401
 import graphloom.queries_text  # noqa: F401
 from graphloom.queries import ORACLE_SQL, QUERIES
 
