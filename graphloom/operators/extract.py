@@ -19,17 +19,25 @@ CONNECTIVES = (
 # Verbs of subject-verb-object relationships.
 VERBS = {"control": "CONTROLS", "regulate": "CONTROLS", "manage": "CONTROLS", "monitor": "MONITORS", "measure": "MONITORS", "track": "MONITORS", "power": "PROVIDES_POWER_TO", "supply": "PROVIDES_POWER_TO", "contain": "CONTAINS", "include": "CONTAINS", "require": "REQUIRES", "trigger": "TRIGGERS", "cause": "CAUSES", "support": "SUPPORTS"}
 _SPAN = "([A-Za-z0-9 _-]+)"
+_START = "(?<![A-Za-z0-9 _-])"
+_ENDS = "array<struct<source:string,target:string,type:string>>"
 
 
 def relationships(texts: DataFrame, text: str = "text", longest: int = 50) -> DataFrame:
-    """[T17] Adds a row for each match: source, target, type, confidence 0.8; no self loops, no long names."""
+    """[T17] Adds a row for each match: source, target, type, confidence 0.8; no self loops, no long names.
+
+    A match can only begin where a run of name characters does, so the patterns look from there alone and their time is
+    linear in the text.
+    """
     found = []
     for kind, words, forward in CONNECTIVES:
-        pattern = F.lit(f"(?i){_SPAN}{words}{_SPAN}")
+        pattern = F.lit(f"(?i){_START}{_SPAN}{words}{_SPAN}")
         ends = F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(1)).alias("x"), F.regexp_extract_all(text, pattern, F.lit(2)).alias("y"))
         a, b = ("x", "y") if forward else ("y", "x")
-        found.append(_ends(ends, kind, a, b))
-    rows = texts.select("*", F.explode(F.concat(*found)).alias("_r")).select("*", "_r.source", "_r.target", "_r.type", F.lit(0.8).alias("confidence"), F.lit("pattern").alias("source_extractor")).drop("_r")
+        there = F.contains(F.lower(text), F.lit(words.removeprefix(",?")))
+        found.append(F.when(there, _ends(ends, kind, a, b)).otherwise(F.array().cast(_ENDS)))
+    # The outer explosion keeps Spark from computing the array a second time to filter empty ones; nulls go by `ok`.
+    rows = texts.select("*", F.explode_outer(F.concat(*found)).alias("_r")).select("*", "_r.source", "_r.target", "_r.type", F.lit(0.8).alias("confidence"), F.lit("pattern").alias("source_extractor")).drop("_r")
     ok = (F.length("source") <= longest) & (F.length("target") <= longest) & (F.col("source") != "") & (F.col("target") != "") & (F.lower("source") != F.lower("target"))
     return rows.filter(ok).distinct()
 
