@@ -32,6 +32,11 @@ def normalized(question: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.trim(question), r"\s+", " "), r"\?+$", ""))
 
 
+def _once(value: Column, f) -> Column:
+    """f of a value that is computed once a row, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _score(q: Column, kind: str) -> Column:
     return sum((F.lower(q).rlike(p).cast("int") for p in INTENTS[kind]), F.lit(0))
 
@@ -53,8 +58,7 @@ def intent(question: Column) -> Column:
 
 def relationship_types(question: Column) -> Column:
     """[T24] Distinct types of the phrases in the question, sorted."""
-    q = F.lower(normalized(question))
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(q.contains(p), F.lit(t)) for p, t in PHRASES]))))
+    return _once(F.lower(normalized(question)), lambda q: F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(F.contains(q, F.lit(p)), F.lit(t)) for p, t in PHRASES])))))
 
 
 def constraints(question: Column) -> Column:
@@ -129,4 +133,4 @@ def strategy(kind: Column, n_mentions: Column, graph_needed: Column, configured:
 
 def graph_strategy(types: Column, n_mentions: Column) -> Column:
     """[G10] By the question's own types."""
-    return F.when(F.array_contains(types, "PRECEDES"), "sequential").when(F.array_contains(types, "REFERENCES"), "procedural").when(F.arrays_overlap(types, F.array(F.lit("CONTAINS"), F.lit("PART_OF"))), "hierarchical").when(n_mentions >= 2, "shortest_path").otherwise("multi_hop")
+    return _once(types, lambda t: F.when(F.array_contains(t, "PRECEDES"), F.lit("sequential")).when(F.array_contains(t, "REFERENCES"), F.lit("procedural")).when(F.arrays_overlap(t, F.array(F.lit("CONTAINS"), F.lit("PART_OF"))), F.lit("hierarchical")).when(n_mentions >= 2, F.lit("shortest_path")).otherwise(F.lit("multi_hop")))
