@@ -179,3 +179,4 @@ def test_shares_of_tasks_do_not_grow(spark, monkeypatch):
     d = "/root/testdata/sf0.001"
     n = session.parts_for(session.table(spark, d, "lineitem"))
     assert n >= 30 and edges(spark, d).filter("type = 'REFERENCES'").rdd.getNumPartitions() == n
+    assert f", {n})" in discover.cooccurrence(pairs_of_parts(spark, d), 2, None, 0)._jdf.queryExecution().executedPlan().toString()
