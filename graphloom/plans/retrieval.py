@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import questions as Q
 from graphloom.operators import graph, vector
+from graphloom.session import parts_of, write_shared
+
+SENT_SEEDS = 500_000  # rows of seeds that are sent to every task
 
 
 def merge_hits(vectors: DataFrame, graphs: DataFrame, keys: list[str]) -> DataFrame:
@@ -25,6 +28,21 @@ def graph_chunk_scores(paths: DataFrame, path_chunks: DataFrame, query_id: str =
     return each.dropDuplicates([query_id, "_p", "chunk_id"]).groupBy(query_id, "chunk_id").agg(F.avg("score").alias("graph_score"))
 
 
+def seed_scores(seeds: DataFrame, found: DataFrame, node_points: DataFrame) -> DataFrame:
+    """[H3] graph_chunk_scores of the paths (start, end, score) from each query's seeds: query_id, point_id, graph_score.
+
+    A seed's paths are summed up by point before its queries meet them, so that a path to no point is not listed for every query.
+    """
+    numbered = found.select("start", "end", "score").withColumn("_p", F.monotonically_increasing_id())
+    each = numbered.select("start", "score", "_p", F.explode(F.array("start", "end")).alias("node")).join(node_points.select("node", "point_id"), "node")
+    sums = write_shared(each.dropDuplicates(["start", "_p", "point_id"]).groupBy("start", "point_id").agg(F.sum("score").alias("_s"), F.count("score").alias("_n")), "seed-scores")
+    asks = seeds.select("query_id", F.col("node").alias("start"))
+    rows = asks.groupBy("start").agg(F.count(F.lit(1)).alias("q")).join(sums.groupBy("start").agg(F.count(F.lit(1)).alias("p")), "start").agg(F.sum("q"), F.sum(F.col("q") * F.col("p"))).first()
+    few = asks if (rows[0] or 0) > SENT_SEEDS else F.broadcast(asks)
+    met = sums.repartition(parts_of(seeds.sparkSession, rows[1] or 0), "start", "point_id").join(few, "start")  # few rows that become many
+    return met.groupBy("query_id", "point_id").agg((F.sum("_s") / F.sum("_n")).alias("graph_score"))
+
+
 def coverage(chunks: DataFrame, wanted: DataFrame, query_id: str = "query_id") -> DataFrame:
     """[H3, U4] Share of a query's entities that a chunk mentions; wanted: query_id, entity_ids."""
     met = chunks.join(wanted.withColumnRenamed("entity_ids", "_w"), query_id, "left").withColumn("_w", F.coalesce("_w", F.array().cast(wanted.schema["entity_ids"].dataType)))
@@ -55,9 +73,11 @@ def retrieve(queries: DataFrame, points: DataFrame, seeds: DataFrame, edges: Dat
     v = vector.normalize_scores(vector.top_k(queries, points, 2 * k, least)).select("query_id", "point_id", F.col("normalized").alias("vector_score"))
     if strategy == "vector_first":
         seeds = v.join(node_points, "point_id").select("query_id", "node").distinct()
-    found = graph.score_paths(graph.traverse(seeds.select("node").distinct(), edges, depth, types, "both"), nodes)
-    hit = seeds.join(found, seeds["node"] == found["start"]).select("query_id", F.array("start", "end").alias("nodes"), "score")
-    g = graph_chunk_scores(hit, node_points.withColumnRenamed("point_id", "chunk_id")).withColumnRenamed("chunk_id", "point_id")
+    starts = seeds.select("node").distinct()
+    if strategy != "vector_first" and starts.count() <= SENT_SEEDS:  # they go to the edges, or the edges go to the one task that holds them
+        starts = F.broadcast(starts)
+    found = graph.score_paths(graph.traverse(starts, edges, depth, types, "both"), nodes)
+    g = seed_scores(seeds, found, node_points)
     if strategy == "vector_only":
         g = g.limit(0)
     if strategy == "graph_only":
