@@ -103,6 +103,17 @@ def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: i
     return mix64(out)
 
 
+def window_hashes(data: np.ndarray, n: int) -> np.ndarray:
+    """slice_hashes of each n consecutive bytes."""
+    up, down = _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_codes(0)[data] * up[: len(data)], out=sums[1:])
+    out = sums[n:] - sums[:-n]
+    out *= down[: len(out)]
+    out += np.uint64(n * 0xD6E8FEB86659FD93 & MASK)
+    return mix64(out)
+
+
 def _combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x = a * np.uint64(0xD6E8FEB86659FD93)
     x += b

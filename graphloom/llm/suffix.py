@@ -38,35 +38,37 @@ STEP = 1 << 20  # bytes hashed at a time
 # --- deep-shallow sorting -------------------------------------------------------------------------------------------
 
 
-def multikey_quicksort(keys: np.ndarray, small: int = 24) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Order of rows of 8-byte characters, and the ranges of the order whose rows are equal in all of them."""
+def multikey_quicksort(keys: np.ndarray, small: int = 4096) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Order of rows of 8-byte characters, and the ranges of the order whose rows are equal in all of them.
+
+    Ranges of at most `small` rows are put off and sorted in one last pass, all together, by range and characters.
+    """
     n, depth = keys.shape
     order = np.arange(n)
-    ties: list[tuple[int, int]] = []
+    put_off: list[tuple[int, int]] = []
     stack = [(0, n, 0)]
     while stack:
         lo, hi, at = stack.pop()
-        if hi - lo < 2:
+        if hi - lo < 2 or at == depth:
             continue
-        if at == depth:
-            ties.append((lo, hi))
+        if hi - lo <= small:
+            put_off.append((lo, hi))
             continue
         part = order[lo:hi]
         col = keys[part, at]
-        if hi - lo <= small:
-            rank = np.argsort(col, kind="stable")
-            order[lo:hi] = part[rank]
-            col = col[rank]
-            cuts = [0, *(np.flatnonzero(col[1:] != col[:-1]) + 1).tolist(), hi - lo]
-            stack.extend((lo + a, lo + b, at + 1) for a, b in zip(cuts, cuts[1:], strict=False) if b - a > 1)
-            continue
         pivot = np.sort(col[[0, len(col) // 2, -1]])[1]
         less, more = col < pivot, col > pivot
         a, c = int(less.sum()), int(more.sum())
         order[lo:hi] = np.concatenate([part[less], part[~(less | more)], part[more]])
         stack += [(lo, lo + a, at), (lo + a, hi - c, at + 1), (hi - c, hi, at)]
-    ties.sort()
-    return order, ties
+    if put_off:
+        put_off.sort()
+        places = np.concatenate([np.arange(lo, hi) for lo, hi in put_off])
+        part = order[places]
+        order[places] = part[np.lexsort((*keys[part].T[::-1], np.repeat(np.arange(len(put_off)), [hi - lo for lo, hi in put_off])))]
+    ordered = keys[order]
+    cuts = [0, *(np.flatnonzero((ordered[1:] != ordered[:-1]).any(axis=1)) + 1).tolist(), n]
+    return order, [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b - a > 1]
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -126,11 +128,12 @@ class BlindTrie:
         return strings, common
 
 
-def deep_shallow(strings: list[bytes], shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
-    """(order, lcp): the strings' order, and the common prefix of each with the one before it in that order."""
+def deep_shallow(strings: list[bytes], shallow: int = SHALLOW, head: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(order, lcp): the strings' order, and the common prefix of each with the one before it in that order. head: their first `shallow` bytes, a row each, filled up with 0."""
     n = len(strings)
-    head = np.frombuffer(b"".join(s[:shallow].ljust(shallow, b"\0") for s in strings), ">u8").reshape(n, shallow // 8).astype(np.uint64)
-    order, ties = multikey_quicksort(head)
+    if head is None:
+        head = np.frombuffer(b"".join(s[:shallow].ljust(shallow, b"\0") for s in strings), np.uint8).reshape(n, shallow)
+    order, ties = multikey_quicksort(np.ascontiguousarray(head).view(">u8").astype(np.uint64))
     lcp = np.zeros(n, np.int64)
     inside = np.zeros(n, bool)
     for lo, hi in ties:
@@ -150,14 +153,18 @@ def deep_shallow(strings: list[bytes], shallow: int = SHALLOW) -> tuple[np.ndarr
             lcp[at] = shared
             lcp[at + 1 : at + len(same)] = len(s)
             at += len(same)
-    for i in np.flatnonzero(~inside)[1:].tolist():
-        lcp[i] = _common(strings[order[i - 1]], strings[order[i]])
+    apart = np.flatnonzero(~inside)[1:]  # these differ from the one before in the head
+    sizes = np.fromiter(map(len, strings), np.int64, n)[order]
+    lcp[apart] = np.minimum((head[order[apart]] != head[order[apart - 1]]).argmax(axis=1), np.minimum(sizes[apart], sizes[apart - 1]))
     return order, lcp
 
 
 # --- anchors --------------------------------------------------------------------------------------------------------
 
 
+_NOWHERE = np.uint64((1 << 64) - 1)  # of a least hash and place, which has a smaller place
+
+
 def _sliding_min(values: np.ndarray, w: int) -> np.ndarray:
     """Minimum of each w consecutive values, from minima of blocks, in three passes."""
     n = len(values)
@@ -181,23 +188,21 @@ class Anchored:
         w = length - anchor + 1
         places, hashes = [], []
         for lo, hi in self._stretches(length):
-            starts = np.arange(lo, hi - anchor + 1)
-            h = S.slice_hashes(self.data, starts, starts + anchor)
+            if hi - lo < length:
+                continue
+            h = S.window_hashes(self.data[lo:hi], anchor)
             # the hash's upper bits, then the place, decide: of equal hashes the first is the anchor
-            packed = (h & ~np.uint64(0xFFFFFF)) | np.arange(len(h), dtype=np.uint64)
-            spaces = np.searchsorted(ends, [lo, hi - 1], "right")
-            for d in range(spaces[0], spaces[1] + 1):
-                a, b = max(lo, int(self.firsts[d])), min(hi, int(self.firsts[d + 1]))
-                if b - a < length:
-                    continue
-                least = _sliding_min(packed[a - lo : b - anchor + 1 - lo], w)
-                at = (least & np.uint64(0xFFFFFF)).astype(np.int64)
-                at = at[np.concatenate([[True], at[1:] != at[:-1]])]
-                places.append(at + lo)
-                hashes.append(h[at])
+            least = _sliding_min((h & ~np.uint64(0xFFFFFF)) | np.arange(len(h), dtype=np.uint64), w)
+            for d in range(*(np.searchsorted(ends, [lo, hi - 1], "right") + [0, 1])):  # strings that end in another text have no anchor
+                least[max(0, int(ends[d]) - length + 1 - lo) : max(0, int(ends[d]) - lo)] = _NOWHERE
+            at = least[least != _NOWHERE]
+            at = (at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at) & np.uint64(0xFFFFFF)
+            places.append(at.astype(np.int64) + lo)
+            hashes.append(h[places[-1] - lo])
         at = np.concatenate(places) if places else np.zeros(0, np.int64)
         keys = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        self.at, first = np.unique(at, return_index=True)
+        first = np.concatenate([[True], at[1:] != at[:-1]]) if len(at) else np.zeros(0, bool)  # they ascend; parts of a text may share one
+        self.at = at[first]
         self.keys = S.mix64(keys[first] ^ np.uint64(0x9FB21C651E98DF25))  # anchors have small hashes; shards need even ones
         of = np.searchsorted(ends, self.at, "right")
         self.left = np.minimum(self.at - self.firsts[of], length - anchor)
@@ -221,10 +226,13 @@ class Anchored:
 
 def _surroundings(x: Anchored, some: np.ndarray, before: int, length: int) -> np.ndarray:
     """Rows of `before` bytes up to the anchor and `length` bytes from it; what lies outside the text is 0."""
+    around = np.concatenate([np.zeros(before, np.uint8), x.data, np.zeros(length, np.uint8)])
+    rows = np.lib.stride_tricks.sliding_window_view(around, before + length)[x.at[some]]
+    left, right = x.left[some], x.right[some]
+    cut = np.flatnonzero((left < before) | (right < length))
     span = np.arange(-before, length)
-    at = x.at[some][:, None] + span
-    ok = (span >= -x.left[some][:, None]) & (span < x.right[some][:, None])
-    return np.where(ok, x.data[np.where(ok, at, 0)], 0).astype(np.uint8)
+    rows[cut] *= (span >= -left[cut][:, None]) & (span < right[cut][:, None])
+    return rows
 
 
 def _distinct(x: Anchored, some: np.ndarray, before: int, length: int):
@@ -235,6 +243,11 @@ def _distinct(x: Anchored, some: np.ndarray, before: int, length: int):
     return rows[first], x.left[some][first], x.right[some][first], counts, group
 
 
+def _head(rows: np.ndarray) -> np.ndarray:
+    """The first SHALLOW bytes of each row, filled up with 0."""
+    return np.ascontiguousarray(np.pad(rows[:, :SHALLOW], ((0, 0), (0, max(0, SHALLOW - rows.shape[1])))))
+
+
 def repeated_offsets(rows: np.ndarray, left: np.ndarray, right: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
     """For each row and each a in [0, before]: does the string from a bytes before the anchor start elsewhere too?"""
     before = rows.shape[1] - length
@@ -245,8 +258,8 @@ def repeated_offsets(rows: np.ndarray, left: np.ndarray, right: np.ndarray, coun
         mid = i * width + before
         ahead.append(flat[mid : mid + ri])
         back.append(flat[mid - le : mid][::-1])
-    order, lcp = deep_shallow(ahead)
-    order_b, lcp_b = deep_shallow(back)
+    order, lcp = deep_shallow(ahead, head=_head(rows[:, before:]))
+    order_b, lcp_b = deep_shallow(back, head=_head(rows[:, :before][:, ::-1]))
     out = np.zeros((len(rows), before + 1), bool)
     rank = np.empty(len(rows), np.int64)
     rank_b = np.empty(len(rows), np.int64)
@@ -264,6 +277,18 @@ def repeated_offsets(rows: np.ndarray, left: np.ndarray, right: np.ndarray, coun
     return out
 
 
+def _runs(flags: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of marked offsets: (places in group, first offset, last offset) for the row of flags that each place of group names."""
+    edges = np.diff(np.pad(flags.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    row, first = np.nonzero(edges == 1)
+    last = np.nonzero(edges == -1)[1] - 1
+    n = np.bincount(row, minlength=len(flags))
+    before, mine = np.cumsum(n) - n, n[group]
+    which = np.repeat(np.arange(len(group)), mine)
+    at = np.arange(len(which)) + np.repeat(before[group] - (np.cumsum(mine) - mine), mine)
+    return which, first[at], last[at]
+
+
 # --- the operator ---------------------------------------------------------------------------------------------------
 
 ANCHOR_KIND, CONTEXT_KIND = 0, 1
@@ -344,20 +369,21 @@ def deduplicate(docs: DataFrame, text: str = "text", keep: list[str] | None = No
                     continue
                 group = _distinct(x, some, before, length)[4]
                 bits = np.frombuffer(S.release(found[CONTEXT_KIND][shard]), np.uint8).reshape(-1, (before + 8) // 8)
-                which, a = np.nonzero(np.unpackbits(bits, axis=1)[:, : before + 1][group])
-                starts = x.at[some][which] - a
-                np.add.at(gone, starts, 1)
-                np.subtract.at(gone, starts + length, 1)
+                which, a, b = _runs(np.unpackbits(bits, axis=1)[:, : before + 1], group)
+                np.add.at(gone, x.at[some][which] - b, 1)
+                np.subtract.at(gone, x.at[some][which] - a + length, 1)
         gone = np.cumsum(gone) > 0
         out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes")}
-        at = 0
-        for t in texts:
-            lost = gone[at : at + len(t)]
-            at += len(t)
-            n = int(lost.sum())
-            kept = np.frombuffer(t, np.uint8)[~lost].tobytes() if n else t
-            for k, v in zip(out, (len(t), n, int(lost[:1].sum() + (lost[1:] & ~lost[:-1]).sum()), hashlib.sha256(kept).hexdigest(), kept if with_text else None), strict=True):
-                out[k].append(v)
+        ends = np.cumsum([0, *map(len, texts)])
+        begins = gone[:-1].copy()
+        begins[1:] &= ~gone[:-2]
+        firsts = ends[ends < len(begins)]
+        begins[firsts] = gone[firsts]  # a run ends with its text
+        removed, spans = (np.diff(np.concatenate([[0], np.cumsum(f, dtype=np.int64)])[ends]).tolist() for f in (gone[:-1], begins))
+        for t, at, n, k in zip(texts, ends.tolist(), removed, spans, strict=False):
+            kept = np.frombuffer(t, np.uint8)[~gone[at : at + len(t)]].tobytes() if n else t
+            for name, v in zip(out, (len(t), n, k, hashlib.sha256(kept).hexdigest(), kept if with_text else None), strict=True):
+                out[name].append(v)
         columns = {"row": rows} | {k: pa.array(out[k], pa.int64()) for k in ("n_bytes", "n_removed", "n_spans")} | {"kept_sha256": pa.array(out["kept_sha256"], pa.string())}
         return pa.table(columns | ({"kept_bytes": pa.array(out["kept_bytes"], pa.binary())} if with_text else {}))
 

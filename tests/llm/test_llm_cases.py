@@ -2,13 +2,15 @@
 
 import collections
 import hashlib
+import itertools
+import sys
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontam, html, minhash, mixing, quality, secrets, substring, suffix, tokens, trigrams, warc
+from graphloom.llm import decontam, html, minhash, mixing, quality, secrets, segments, substring, suffix, tokens, trigrams, warc
 from graphloom.llm.queries import vocabulary
 
 SCHEMA = "doc_id long, text string, source string, row string, n_words long, kept boolean, _text string, spans string"
@@ -88,6 +90,27 @@ def test_suffix_of_one_letter(spark):
     assert {r.row.doc_id: r.n_removed for r in suffix.deduplicate(df).collect()} == {1: 5000, 2: 0, 3: 0, 4: 200, 5: 201}
 
 
+def test_small_ranges_are_sorted_together():
+    keys = np.random.default_rng(6).integers(0, 40, (20_000, 4)).astype(np.uint64)
+    calls = []
+    sys.setprofile(lambda _, event, f: calls.append(1) if event == "c_call" else None)
+    order, ties = suffix.multikey_quicksort(keys)
+    sys.setprofile(None)
+    assert len(calls) < 2_000
+    rows = [tuple(r) for r in keys[order].tolist()]
+    assert rows == sorted(rows) and sorted(order.tolist()) == list(range(len(rows)))
+    sizes = [len(list(g)) for _, g in itertools.groupby(rows)]
+    assert ties == [(int(end) - n, int(end)) for end, n in zip(np.cumsum(sizes), sizes) if n > 1]
+
+
+def test_window_hashes_and_runs():
+    data = np.random.default_rng(7).integers(0, 256, 500).astype(np.uint8)
+    starts = np.arange(401)
+    assert (segments.window_hashes(data, 100) == segments.slice_hashes(data, starts, starts + 100)).all()
+    flags, group = np.array([[1, 1, 0, 1], [0, 0, 0, 0], [0, 1, 1, 0]], bool), np.array([2, 0, 1, 0])
+    assert [x.tolist() for x in suffix._runs(flags, group)] == [[0, 1, 1, 3, 3], [1, 0, 3, 0, 3], [2, 1, 3, 1, 3]]
+
+
 def test_deep_shallow_orders_any_strings():
     rng = np.random.default_rng(5)
     for alphabet in (b"ab", b"\0a", bytes(range(256))):
