@@ -101,3 +101,17 @@ def test_one_row_of_each_group_stays(spark):
     kept = minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     got = Counter((r.doc_id, r.text) for r in kept.collect())
     assert got == Counter([(1, long), (3, other), (4, "a b c"), (None, long), (None, other), (None, ""), (None, None), (5, None)])
+
+
+def test_suggestions_are_found_once_although_they_are_sorted(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        seen.add(1)
+        return x / 1000
+
+    fuzzy = spark.range(900).repartition(3).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"), counted(F.col("id")).alias("confidence"))
+    rows = D_.union_suggestions(fuzzy, spark.createDataFrame([(1, 2, 2.0)], "a long, b long, confidence double")).collect()
+    assert seen.value == 900 and len(rows) == 901
+    assert [r.confidence for r in rows] == sorted((r.confidence for r in rows), reverse=True)
